@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagewright.llm.bpe import op9_byte_bpe
+from pagewright.llm.chattree import OP5_SQL, op5_chat_format
+from pagewright.llm.langid import op4_language_id
+from pagewright.llm.mixing import OP3_SQL, op3_mixing
+from pagewright.llm.topk import OP7_SQL, op7_topk_search
 from pagewright.llm.toxicity import op2_toxicity
+from pagewright.llm.urlfilter import OP1_SQL, op1_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing,
+    "op4_language_id": op4_language_id,
+    "op5_chat_format": op5_chat_format,
+    "op7_topk_search": op7_topk_search,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op3_mixing": OP3_SQL, "op5_chat_format": OP5_SQL, "op7_topk_search": OP7_SQL}
