@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from pagewright.plans.cut import cut
 
 
+def free(name: str, columns: list[str]) -> str:
+    """The name, with underscores until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_000) -> Iterator[pa.Table]:
     """Tables of at least ``least`` rows (but the last) in which no group is cut off; rows come sorted by ``key``."""
     held: list[pa.RecordBatch] = []

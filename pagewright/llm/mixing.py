@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm._groups import free
 from pagewright.plans.cut import cut
 
 #: Sources up to which their rates are broadcast; more are joined by shuffle.
@@ -107,11 +108,12 @@ def mix(docs: DataFrame, weights: dict[str | None, float], budget_share: float =
     nothing. Column names of the table other than the three used are free,
     except ``copy``, which is replaced.
     """
-    r = rates(docs, weights, budget_share, max_epochs).select(F.col("source").alias("_mix_source"), F.col("epochs").alias("_mix_epochs"))
+    name, epochs, times = (free(x, docs.columns) for x in ("_mix_source", "_mix_epochs", "_mix_times"))
+    r = rates(docs, weights, budget_share, max_epochs).select(F.col("source").alias(name), F.col("epochs").alias(epochs))
     kept = [c for c in docs.columns if c != "copy"]
-    times = F.expr(f"cast(floor(_mix_epochs) as int) + case when {unit(seed)} < _mix_epochs - floor(_mix_epochs) then 1 else 0 end")
-    joined = docs.join(r, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_times", times).where("_mix_times > 0")
-    return joined.select(*kept, F.explode(F.expr("sequence(0, _mix_times - 1)")).alias("copy"))
+    drawn = F.expr(f"cast(floor({epochs}) as int) + case when {unit(seed)} < {epochs} - floor({epochs}) then 1 else 0 end")
+    joined = docs.join(r, F.col("source").eqNullSafe(F.col(name))).withColumn(times, drawn).where(f"{times} > 0")
+    return joined.select(*kept, F.explode(F.expr(f"sequence(0, {times} - 1)")).alias("copy"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

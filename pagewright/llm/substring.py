@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.llm import _text as t
-from pagewright.llm._groups import binary_rows, column, to_binary, whole_groups
+from pagewright.llm._groups import binary_rows, column, free, to_binary, whole_groups
 
 #: Words of the shortest duplicate span, and of the runs that are hashed for anchors.
 LEAST, GRAM = 50, 15
@@ -168,20 +168,22 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     spans, a null text and a null id are left alone.
     """
     # one shuffle of the texts, on the key the spans already have
-    per = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b")))).alias("_spans"))
-    joined = docs.join(per, (F.col("doc_id") == F.col("_doc")) & (F.hash("text") == F.col("_hash")), "left").drop("_doc", "_hash")
+    doc, hashed, own = (free(x, docs.columns) for x in ("_doc", "_hash", "_spans"))
+    span = F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))
+    per = spans.groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(hashed)).agg(F.sort_array(F.collect_list(span)).alias(own))
+    joined = docs.join(per, (F.col("doc_id") == F.col(doc)) & (F.hash("text") == F.col(hashed)), "left").drop(doc, hashed)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in t.slices(batch, "text"):
-                texts, found = part.column("text").to_pylist(), part.column("_spans").to_pylist()
+                texts, found = part.column("text").to_pylist(), part.column(own).to_pylist()
                 out = [x if s is None else cut_text(x, [(y["a"], y["b"]) for y in s]) for x, s in zip(texts, found, strict=True)]
                 stay = pa.array([s is None or bool(x.strip()) for x, s in zip(out, found, strict=True)])
                 columns = {c: part.column(c) for c in names} | {"text": pa.array(out, part.column("text").type)}
                 if "n_chars" in columns:
-                    own = columns["n_chars"]
-                    columns["n_chars"] = pa.array([o if s is None else len(x) for o, x, s in zip(own.to_pylist(), out, found, strict=True)], own.type)
+                    was = columns["n_chars"]
+                    columns["n_chars"] = pa.array([o if s is None else len(x) for o, x, s in zip(was.to_pylist(), out, found, strict=True)], was.type)
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(stay)
 
     return joined.mapInArrow(run, docs.schema)
