@@ -26,7 +26,7 @@ from pagewright.llm._subword import fresh, subwords, summed
 SIZES, BITS, DIM = (3, 4, 5, 6), 18, 8
 #: Words of a passage and the step from one to the next.
 PASSAGE, STEP = 24, 8
-#: A shorter text's average is taken over so many features, the missing ones zero.
+#: A shorter text's average is taken over so many features, the missing ones like those of clean texts.
 LEAST = 100
 #: Labelled documents that training reads at most, as many toxic ones as clean.
 TRAIN_DOCS = 3000
@@ -90,10 +90,17 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4, ra
             return 0, -np.inf
         v = np.concatenate([[0], np.cumsum(small[ids], dtype=np.float64)])
         s = (v[w[b]] - v[w[a]]) / np.maximum(c[b] - c[a], LEAST)
-        return int(np.argmax(s)), float(s.max() + bias[1] - bias[0])
+        return int(np.argmax(s)), float(s.max() + shift)
+
+    def centred() -> tuple[np.ndarray, float]:
+        """Scores and bias shifted so that a feature that isn't there counts as an average one of clean texts."""
+        raw = emb @ (out[:, 1] - out[:, 0])
+        means = [float(raw[bags[k][0]].mean()) for k in np.flatnonzero(~held & (y == 0)) if len(bags[k][0])]
+        mean = float(np.mean(means)) if means else 0.0
+        return raw - np.float32(mean), float(bias[1] - bias[0]) + mean
 
     for r in range(rounds):
-        small = emb @ (out[:, 1] - out[:, 0])
+        small, shift = centred()
         pick: list[tuple[int, int]] = []
         for k in np.flatnonzero(~held):
             ids, _, a, _, _ = bags[k]
@@ -139,7 +146,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4, ra
                 gb = d.sum(axis=0)
                 g_bias += gb**2
                 bias -= 0.1 * rate * gb / np.sqrt(g_bias)
-    small = emb @ (out[:, 1] - out[:, 0])
+    small, shift = centred()
     s = np.array([worst(k)[1] for k in range(len(y))])
     test = held if (y[held] == 1).sum() >= 10 and (y[held] == 0).sum() >= 10 else np.ones(len(y), bool)
     bad, good = np.sort(s[test & (y == 1)]), np.sort(s[test & (y == 0)])
@@ -148,7 +155,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4, ra
     cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
     wrong = np.searchsorted(bad, cuts) / len(bad) + (len(good) - np.searchsorted(good, cuts)) / len(good)
     best = cuts[wrong <= wrong.min() + 1e-9]
-    return Model(small.astype(np.float32), float(bias[1] - bias[0]), float(np.median(best)))
+    return Model(small.astype(np.float32), shift, float(np.median(best)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, seed: int = 7) -> Model:
