@@ -48,10 +48,11 @@ def _wholes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int) ->
     return hashes, (hashes >> t.U(64 - bits)).astype(np.int32)
 
 
-def fresh(hashes: np.ndarray, within: int) -> np.ndarray:
-    """Whether none of the ``within`` - 1 words before is the same (texts aren't told apart)."""
+def fresh(hashes: np.ndarray, text: np.ndarray, within: int) -> np.ndarray:
+    """Whether none of the ``within`` - 1 words before is the same word of the same text; ``text`` numbers each word's."""
     order = np.argsort(hashes, kind="stable")
-    again = (hashes[order][1:] == hashes[order][:-1]) & (np.diff(order) < within)
+    # of equal words the one just before is the nearest: if that is of another text, so are all others
+    again = (hashes[order][1:] == hashes[order][:-1]) & (text[order][1:] == text[order][:-1]) & (np.diff(order) < within)
     new = np.ones(len(hashes), dtype=bool)
     new[order[1:][again]] = False
     return new

@@ -41,15 +41,21 @@ class Model:
     threshold: float
 
 
+def _marked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts and where each begins, after a newline: the first text's first word has its boundary mark like any other."""
+    cps, at = t.code_points(texts)
+    return np.concatenate([np.full(1, 10, cps.dtype), cps]), at + 1
+
+
 def _bags(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each text: buckets ordered by word, where each word's begin, and how many features went before it."""
     for text in texts:
-        cps, _ = t.code_points(pa.array([text], type=pa.string()))
+        cps, _ = _marked(pa.array([text], type=pa.string()))
         ids, owner, starts, hashes = subwords(cps, SIZES, BITS)
         order = np.argsort(owner, kind="stable")
         ids, owner = ids[order], owner[order]
         size = np.bincount(owner, minlength=len(starts))
-        new = fresh(hashes, PASSAGE)
+        new = fresh(hashes, np.zeros(len(hashes), np.int64), PASSAGE)
         zero = np.zeros(1, np.int64)
         yield ids[new[owner]], np.concatenate([zero, np.cumsum(size * new)]), np.concatenate([zero, np.cumsum(size)])
 
@@ -180,17 +186,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, seed: int =
 
 def score_batch(texts: pa.Array, model: Model) -> np.ndarray:
     """The worst passage's log odds of each text; -inf where there is no word."""
-    cps, at = t.code_points(texts)
+    cps, at = _marked(texts)
     sums, counts, starts, hashes = summed(cps, model.score, SIZES, BITS)
-    sums = np.concatenate([[0], np.cumsum(sums * fresh(hashes, PASSAGE))])
-    counts = np.concatenate([[0], np.cumsum(counts)])
     begin = np.searchsorted(starts, at[:-1])
     end = np.searchsorted(starts, at[1:])
+    text = np.repeat(np.arange(len(texts)), end - begin)
+    sums = np.concatenate([[0], np.cumsum(sums * fresh(hashes, text, PASSAGE))])
+    counts = np.concatenate([[0], np.cumsum(counts)])
     result = np.full(len(texts), -np.inf)
     full = np.flatnonzero(end > begin)
     last = np.maximum(end[full] - begin[full] - PASSAGE, 0)
     number = (last + STEP - 1) // STEP + 1
-    first = np.concatenate([[0], np.cumsum(number)[:-1]]).astype(np.int64)
+    first = np.cumsum(number) - number
     step = np.arange(int(number.sum())) - np.repeat(first, number)
     a = np.repeat(begin[full], number) + np.minimum(step * STEP, np.repeat(last, number))
     b = np.minimum(a + PASSAGE, np.repeat(end[full], number))

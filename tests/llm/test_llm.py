@@ -2,6 +2,7 @@
 
 import compare
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,15 @@ def test_byte_pair_against_tiktoken():
         assert own.encode(text).tolist() == other.encode_ordinary(text) and own.decode(own.encode(text)) == text
 
 
+def test_toxicity_of_each_row_is_its_own():
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS).astype(np.float32), 0.5, 0.0)
+    insult = "you stupid worthless pathetic idiot just get lost"
+    texts = [insult, insult, insult, prose(1, 60), insult + " now", insult, "", None, insult, prose(1, 60), prose(1, 60)]
+    alone = [toxicity.score_batch(pa.array([x], pa.string()), model)[0] for x in texts]
+    assert np.allclose(toxicity.score_batch(pa.array(texts), model), alone, atol=1e-9) and alone[0] != 0.5
+
+
 def test_toxicity_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
