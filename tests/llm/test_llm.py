@@ -83,6 +83,15 @@ def test_join_against_brute_force(spark):
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 50
 
 
+def test_join_of_a_component_of_several_chunks(spark, monkeypatch):
+    base, rows = prose(8, 100).split(), []
+    for i in range(60):
+        rows.append((i, " ".join([*base[:i], f"new{i}", *base[i + 1 :]])))
+    monkeypatch.setattr(ngramjoin, "BLOCK", 7)
+    pairs, copies = ngramjoin.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r[0], r[1]) for r in pairs.collect()) == [(a, b) for a in range(60) for b in range(a + 1, 60)] and copies.count() == 0
+
+
 def test_near_pairs_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 64))
