@@ -52,15 +52,15 @@ def _regions(texts: pa.Array, least: int, gram: int) -> tuple[np.ndarray, ...]:
     starts, ends, first = _words(cps, at)
     words = t.word_hashes(cps, starts, ends)
     if len(words) < least:
-        return (*[np.zeros(0, np.int64)] * 5, np.zeros(0, np.uint32))
+        return (*[np.zeros(0, np.int64)] * 5, np.zeros(0, t.U))
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     grams = t.window_hashes(words, gram)
     anchor = _least(grams, least - gram + 1)
     n = len(words) - least + 1
-    whole = (t.window_hashes(words, least) >> t.U(32)).astype(np.uint32)
+    whole = t.window_hashes(words, least)
     j = np.flatnonzero(doc[:n] == doc[least - 1 :])
     if not len(j):
-        return (*[np.zeros(0, np.int64)] * 5, np.zeros(0, np.uint32))
+        return (*[np.zeros(0, np.int64)] * 5, np.zeros(0, t.U))
     a = anchor[j]
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (doc[j[1:]] != doc[j[:-1]])]))
     count = np.diff(np.concatenate([new, [len(j)]]))
@@ -80,14 +80,14 @@ def _parse(table: pa.Table, least: int) -> pa.RecordBatch | None:
     table = table.filter(pa.array(several))
     anchor, doc, text, place, first = (column(table, c) for c in ("anchor", "doc_id", "text_hash", "place", "first"))
     data, off = binary_rows(table["windows"])
-    window = data.view("<u4").astype(t.U)
-    count = np.diff(off) // 4
+    window = data.view("<u8")
+    count = np.diff(off) // 8
     row = np.repeat(np.arange(len(anchor)), count)
     start = np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
     pos = first[row] + np.arange(len(row)) - start
     # equal windows stand at the same distance from their anchor
     where = (pos - place[row]).astype(np.int64).view(t.U)
-    key = t.mix(anchor.view(t.U)[row] + t.mix(window + (where << t.U(32))))
+    key = t.mix(anchor.view(t.U)[row] + t.mix(window + t.mix(where)))
     _, one, back = np.unique(key, return_index=True, return_inverse=True)
     ref = one[back]
     r, p = row[ref], pos[ref]
@@ -126,7 +126,7 @@ def duplicate_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Da
             for part in t.slices(batch, "text"):
                 doc, anchor, place, first, count, windows = _regions(part.column("text"), least, gram)
                 take = pa.array(doc)
-                offsets = np.concatenate([[0], np.cumsum(count * 4)])
+                offsets = np.concatenate([[0], np.cumsum(count * 8)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor, pa.int64()), part.column("doc_id").take(take), part.column("text_hash").take(take), pa.array(place.astype(np.int32)), pa.array(first.astype(np.int32)), to_binary(windows.view(np.uint8), offsets)],
                     ["anchor", "doc_id", "text_hash", "place", "first", "windows"],

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from pagewright.llm import _text as t
 from pagewright.llm import bpe, chattree, langid, mixing, neardup, ngramjoin, queries, substring, topk, toxicity, urlfilter
 
 SF = "/root/testdata/sf0.001"
@@ -116,6 +117,17 @@ def test_estimates_are_unbiased():
     assert abs(np.mean(found) - a @ b) < 0.01
 
 
+def test_windows_that_share_32_bits_are_not_duplicates(spark):
+    texts = [" ".join([*(f"w{i}" for i in range(49)), end]) for end in ("x112959", "x281079")]
+    hashes = []
+    for text in texts:
+        cps, _ = t.code_points(pa.array([text]))
+        hashes.append(t.window_hashes(t.word_hashes(cps, *t.runs(t.is_solid(cps))), 50)[0])
+    assert hashes[0] >> t.U(32) == hashes[1] >> t.U(32) and hashes[0] != hashes[1]
+    docs = spark.createDataFrame([*enumerate(texts), (2, texts[0])], "doc_id long, text string")
+    assert [(r["doc_id"], r["ref_doc_id"]) for r in substring.duplicate_spans(docs).collect()] == [(2, 0)]
+
+
 def test_water_filling():
     given = mixing.water_fill({"a": 10, "b": 100, "c": 0}, {"a": 5, "b": 1}, 110, 2)
     assert given["a"] == 2 and abs(given["b"] * 100 + 20 - 110) < 1e-9 and given["c"] == 0
