@@ -1,15 +1,15 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
-
-Documents are sequences of words. The corpus is its own reference, split into
-blocks by anchors: an anchor is the least hash of 15 words among the 36 such
-runs that make up a window of 50 words, so equal windows have equal anchors
-and a reference block only has to meet the documents that share its anchors;
-no other document could have a long enough factor in it. In its block, each
-document's windows are parsed greedily, in document order, against an index of
-what came before: the longest run that continues in the reference is a factor,
-anything else is a literal and joins the reference. Anchors cut a passage into
-several factors; at factor boundaries neighbours that continue one another are
-put together again, and the result is a span of at least 50 words.
+"""Substring dedup by winnowed windows.
+
+This stands in for relative Lempel-Ziv parsing: there is no index of reference
+blocks, no greedy longest factor and no literal. Documents are sequences of
+words, and every window of 50 words is hashed and looked up under its anchor,
+the least hash of the 36 runs of 15 words that make it up: equal windows have
+equal anchors, so only windows that share one have to meet. A window refers to
+its first occurrence in the order of documents, and neighbouring windows whose
+first occurrences continue one another make up a span of at least 50 words,
+also across anchors. The words covered are those of all repeated windows, as
+in the SQL; a passage whose parts first occur in different documents gives
+spans that overlap, where greedy parsing could give a single factor.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def _regions(texts: pa.Array, least: int, gram: int) -> tuple[np.ndarray, ...]:
 
 
 def _parse(table: pa.Table, least: int) -> pa.RecordBatch | None:
-    """Factors of the regions of some whole anchors, in order of anchor, document and place."""
+    """Runs of windows that occur before, of the regions of some whole anchors, in order of anchor, document and place."""
     anchor = column(table, "anchor")
     several = np.zeros(len(anchor), bool)
     same = anchor[1:] == anchor[:-1]
@@ -142,7 +142,7 @@ def duplicate_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Da
     regions = rows.select("doc_id", "text_hash", "text").mapInArrow(index, "anchor long, doc_id long, text_hash int, place int, first int, windows binary")
     blocks = regions.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "text_hash", "first")
     factors = blocks.mapInArrow(factor, "doc_id long, text_hash int, first long, last long, ref_doc_id long, ref_text_hash int, ref_first long").distinct()
-    # factor boundaries: windows that go on in the same reference at the same distance
+    # run boundaries: windows that go on in the same reference at the same distance
     line = W.partitionBy("doc_id", "text_hash", "ref_doc_id", "ref_text_hash", F.col("ref_first") - F.col("first")).orderBy("first")
     broken = F.coalesce(F.col("first") > F.lag("last").over(line) + 1, F.lit(True))
     joined = factors.withColumn("_new", broken.cast("int")).withColumn("_run", F.sum("_new").over(line)).withColumn("_shift", F.col("ref_first") - F.col("first"))
