@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from pagewright.plans.cut import cut
 
 
-def depths(edges: DataFrame, start: list[str], most: int = 10) -> DataFrame:
+def depths(edges: DataFrame, start: list[str] | DataFrame, most: int = 10) -> DataFrame:
     """``node, depth`` of what ``src, dst`` edges reach from the start in ``most`` steps, each node at its least depth.
 
+    The start is a list, or a table with a column ``node`` where it is long.
     Null ends lead nowhere; repeated edges and cycles don't matter. Each level
     joins the new nodes only, and what was seen is an anti-join.
     """
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(x, 0) for x in dict.fromkeys(start)], "node string, depth int")
+    if isinstance(start, DataFrame):
+        seen = start.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0))
+    else:
+        seen = spark.createDataFrame([(x, 0) for x in dict.fromkeys(start)], "node string, depth int")
     front = seen
     for depth in range(1, most + 1):
         found = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).where("node is not null").distinct()

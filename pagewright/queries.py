@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import texts, urls
 from pagewright.operators import articles, pages
 from pagewright.plans import crawl
+from pagewright.plans.cut import cut
 
 
 
@@ -78,8 +79,18 @@ def crawl_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.depths(edges, ["n0"], 3)
 
 
+def page_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of all pages, walked for 10 steps from the pages that no other page links to."""
+    found = pages.extract(_pages(spark, sf_dir)).select("url", F.explode_outer("links.href").alias("href"))
+    # HTML is read once, not at every step; a page without links keeps a row
+    edges = cut(found.select(urls.normalize_url(F.col("url")).alias("src"), urls.normalize_url(F.col("href")).alias("dst")).distinct())
+    linked = edges.where("src <> dst").select(F.col("dst").alias("src")).distinct()
+    start = cut(edges.select("src").distinct().join(linked, "src", "left_anti").select(F.col("src").alias("node")))
+    return crawl.depths(edges, start)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (normalize_url, url_slug, url_score, raw_words, content_dedup, validation, reading_report, extract, classify, page_links, page_blocks, crawl_depths)
+    f.__name__: f for f in (normalize_url, url_slug, url_score, raw_words, content_dedup, validation, reading_report, extract, classify, page_links, page_blocks, crawl_depths, page_depths)
 }
 
 _PART = r"'^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$'"

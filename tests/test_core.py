@@ -96,6 +96,15 @@ def test_depths(spark):
     assert {r["node"]: r["depth"] for r in crawl.depths(edges, ["a"], 3).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
 
 
+def test_page_depths(spark, tmp_path):
+    link = lambda *to: "".join(f'<a href="{x}">x</a>' for x in to)
+    chain = [(f"https://e.com/{i}", link(f"/{i + 1}?utm_source=x#top", "/0" if i else "/1")) for i in range(12)]
+    rows = [("https://e.com/root", link("/0")), *chain, ("https://e.org/alone", "<p>no links</p>")]
+    spark.createDataFrame([(i, u, f"<html><body>{h}</body></html>") for i, (u, h) in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["node"]: r["depth"] for r in queries.QUERIES["page_depths"](spark, str(tmp_path)).collect()}
+    assert got == {"https://e.com/root": 0, "https://e.org/alone": 0} | {f"https://e.com/{i}": i + 1 for i in range(10)}
+
+
 def test_stream(spark, tmp_path):
     inside, out = str(tmp_path / "in"), str(tmp_path / "out")
     for i in range(2):
