@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from pagewright.plans.cut import cut
 
+#: Rows of two or three numbers up to which a table is broadcast (some 30 MB); a longer one is joined by shuffle.
+MAX_BROADCAST = 1_000_000
+
 
 def free(name: str, columns: list[str]) -> str:
     """The name, with underscores until no column is called so."""
@@ -84,6 +87,60 @@ def pairs_in_groups(keys: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[n
         yield i, i + 1 + np.arange(total) - np.repeat(first, p)
 
 
+def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Each row's least connected row."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[left], root[right])
+        new = root.copy()
+        np.minimum.at(new, root[left], low)
+        np.minimum.at(new, root[right], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Marked for broadcast if its counted rows are few; otherwise the join shuffles."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST else rows
+
+
+def blocked(linked: DataFrame, most: int, most_weight: int) -> DataFrame:
+    """``id, root, chunks, chunk`` of ``id, root, weight``: a component over either bound is cut into chunks by a hash of the id."""
+    crowd = linked.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / most, F.sum("weight") / most_weight)).cast("int").alias("chunks"))
+    return linked.join(crowd, "root").select("id", "root", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
+
+
+def each_block(rows: DataFrame, *kept: str) -> DataFrame:
+    """``block, apart, id, chunk`` and what is kept, sorted block by block.
+
+    A component of one chunk is a block; of one cut up, every two chunks are a
+    block (``apart``: only rows of different chunks meet there) and every chunk
+    is one, so two ids of a component meet in exactly one block, and no task
+    holds more than two chunks.
+    """
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    rows = rows.withColumn("other", other).select(
+        F.when(F.col("chunks") == 1, F.col("root")).otherwise(F.xxhash64("root", F.least("chunk", "other"), F.greatest("chunk", "other"))).alias("block"),
+        (F.col("chunk") != F.col("other")).alias("apart"), "id", "chunk", *kept,
+    )
+    return rows.repartition("block").sortWithinPartitions("block", "id")
+
+
+def tables(held: pa.Table, most: int = 2000) -> Iterator[pa.Table]:
+    """Whole blocks, several small ones together, of which repeated ids are dropped."""
+    block, own = column(held, "block"), column(held, "id")
+    new = np.concatenate([[True], (block[1:] != block[:-1]) | (own[1:] != own[:-1])])
+    held, block = held.filter(pa.array(new)), block[new]
+    cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+    at = 0
+    for i in range(1, len(cuts)):
+        if cuts[i] - cuts[at] > most or i == len(cuts) - 1:
+            yield held.slice(cuts[at], cuts[i] - cuts[at]).combine_chunks()
+            at = i
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id, root``: the least id of the component, for every id in ``edges`` (a, b).
 
@@ -92,6 +149,8 @@ def components(edges: DataFrame) -> DataFrame:
     most half of the ids are ends, so the rounds are logarithmic.
     """
     edges = cut(edges.where("a <> b").select("a", "b").distinct())
+    if not edges.limit(1).count():
+        return edges.select(F.col("b").alias("id"), F.col("a").alias("root"))
     found = None
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

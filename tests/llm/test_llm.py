@@ -55,7 +55,7 @@ def test_odd_rows(spark):
 def test_empty_tables(spark):
     docs = odd(spark).limit(0)
     assert toxicity.reject(docs, toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
-    assert ngramjoin.keep_one(docs).count() == 0
+    assert ngramjoin.keep_one(docs).count() == 0 and ngramjoin.classes(docs).count() == 0
     assert substring.remove_spans(docs, substring.duplicate_spans(docs)).count() == 0
     assert bpe.tokenise(docs).count() == 0
     assert langid.identify(docs, langid.fit(docs)).count() == 0
@@ -69,28 +69,74 @@ def test_url_filter(spark):
     assert {r["page_id"]: r["listed"] for r in urlfilter.url_filter(pages, listed).collect()} == {1: True, 2: False, 3: False, 4: False}
 
 
-def test_join_against_brute_force(spark):
-    rng = np.random.default_rng(5)
+def brute_classes(rows, n=2, threshold=0.7):
+    """(doc_id, class, links, copies) by comparing everything with everything."""
+    sets = {}
+    for i, text in rows:
+        w = text.lower().split()
+        sets.setdefault(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)]), []).append(i)
+    keys = list(sets)
+    links = {a: [b for b in keys if a is not b and len(a & b) >= threshold * len(a | b) - 1e-9] for a in keys}
+    found, seen = {}, set()
+    for a in keys:
+        if a not in seen:
+            group, todo = [], [a]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    group.append(x)
+                    todo += links[x]
+            least = min(i for x in group for i in sets[x])
+            found |= {i: (i, least, len(links[x]), len(sets[x]) - 1) for x in group for i in sets[x]}
+    return sorted(found.values())
+
+
+def edited(seeds, size, share, rng):
     rows = []
-    for i in range(300):
-        words = prose(i // 3, 20 + i).split()
-        for j in np.flatnonzero(rng.random(len(words)) < 0.02 * (i % 4)):
+    for i in range(seeds):
+        words = prose(i // 3, size(i)).split()
+        for j in np.flatnonzero(rng.random(len(words)) < share * (i % 4)):
             words[j] = "new" + str(rng.integers(1000))
         rows.append((i, " ".join(words)))
-    sets = [{tuple(x[k : k + 2]) for k in range(len(x) - 1)} for x in (t.split() for _, t in rows)]
-    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
-    pairs, copies = ngramjoin.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {(r[0], r[1]) for r in pairs.unionByName(copies).collect()}
-    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 50
+    return rows
+
+
+@pytest.mark.parametrize("size", [lambda i: 2 + i // 9, lambda i: 1500 if i < 30 else 20 + i])
+def test_join_against_brute_force(spark, size):
+    rows = edited(300, size, 0.02, np.random.default_rng(5))
+    want = brute_classes(rows)
+    got = sorted(tuple(r) for r in ngramjoin.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want and sum(x[2] + x[3] for x in want) > 50
 
 
 def test_join_of_a_component_of_several_chunks(spark, monkeypatch):
     base, rows = prose(8, 100).split(), []
     for i in range(60):
         rows.append((i, " ".join([*base[:i], f"new{i}", *base[i + 1 :]])))
-    monkeypatch.setattr(ngramjoin, "BLOCK", 7)
-    pairs, copies = ngramjoin.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((r[0], r[1]) for r in pairs.collect()) == [(a, b) for a in range(60) for b in range(a + 1, 60)] and copies.count() == 0
+    docs = spark.createDataFrame([*rows, (60, rows[3][1]), (61, None), (62, "")], "doc_id long, text string")
+    for name, most in (("BLOCK", 7), ("BLOCK_GRAMS", 900)):
+        monkeypatch.setattr(ngramjoin, name, most)
+        got = {r[0]: tuple(r)[1:] for r in ngramjoin.classes(docs).collect()}
+        assert got == {i: (0, 59, int(i in (3, 60))) for i in range(61)} | {61: (61, 0, 0), 62: (62, 0, 0)}
+        monkeypatch.undo()
+
+
+def test_recall_of_signatures_by_size():
+    """Two sets right at the threshold, the worst case, share a signature."""
+    rng = np.random.default_rng(0)
+    for n in (4, 6, 8, 10, 11, 12, 15, 18, 22, 30, 60, 150, 400, 3000):
+        c, many, values, offsets = int(np.ceil(0.7 * n - 1e-9)), 400 if n < 200 else 40, [], [0]
+        for _ in range(many):
+            a = rng.integers(0, 1 << 63, n).astype(t.U)
+            for x in (a, a[:c]):
+                values.append(np.sort(x))
+                offsets.append(offsets[-1] + len(x))
+        owner, found = ngramjoin.signatures(np.concatenate(values), np.array(offsets), 0.7)
+        sets = [set() for _ in range(2 * many)]
+        for o, s in zip(owner.tolist(), found.tolist(), strict=True):
+            sets[o].add(s)
+        assert np.mean([bool(sets[2 * i] & sets[2 * i + 1]) for i in range(many)]) >= (0.98 if n < 60 else 1), n
 
 
 def test_near_pairs_against_brute_force(spark):
