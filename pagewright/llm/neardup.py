@@ -1,16 +1,18 @@
 """Embedding near-dedup by randomised-rotation binary codes.
 
-Every unit vector is padded, turned by a seeded random rotation and kept as the
-signs of its coordinates, with the correction factor <code, vector>. For any
-vector q, <code, q> / factor is an unbiased estimate of <vector, q>, and the
-factor gives its confidence bound; q itself travels as bytes with the norm of
-what rounding took off. Only pairs whose upper bound reaches the threshold are
-computed exactly.
-
-Pairs meet in tables keyed by samples of code bits; how many bits and tables
+Every different unit vector is padded, turned by a seeded random rotation and
+kept as the signs of its coordinates, with the correction factor <code, vector>.
+For any vector q, <code, q> / factor is an unbiased estimate of <vector, q>, and
+the factor gives its confidence bound: only pairs whose upper bound reaches the
+threshold are computed exactly.
+
+Vectors meet in tables keyed by samples of code bits; how many bits and tables
 follows from the number of vectors and the chance that a bit of two vectors at
-the threshold differs (their angle over pi), so that at most ``miss`` of such
-pairs meet nowhere.
+the threshold differs (their angle over pi), so that at most ``MISS`` of such
+pairs meet nowhere. What travels there is an id and the code; vectors whose
+codes are near are linked, and only what hangs together by such links is
+fetched as vectors, block by block. A key that very many vectors have, and a
+component of very many, are cut into chunks that meet two by two.
 """
 
 from __future__ import annotations
@@ -24,12 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import _text as t
-from pagewright.llm._groups import binary_rows, column, pairs_in_groups, to_binary, whole_groups
-from pagewright.plans.cut import cut
+from pagewright.llm import _groups
+from pagewright.llm._groups import binary_rows, blocked, column, components, each_block, few, local_roots, pairs_in_groups, to_binary, whole_groups
+from pagewright.plans.cut import cut, stored
 
 THRESHOLD, MISS, SEED = 0.95, 1e-3, 5
-#: Bits of a code at least, and the width of confidence bounds.
-BITS, WIDTH = 256, 1.9
+#: Bits of a code at least; standard deviations that confidence bounds allow for (one pair in a million errs by more).
+BITS, WIDTH = 256, 5.0
+#: Vectors of a block.
+BLOCK = 2000
 
 
 def rotation(dim: int, bits: int = BITS, seed: int = SEED) -> np.ndarray:
@@ -76,108 +81,148 @@ def _keys(code: np.ndarray, places: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _unit(vectors: pa.Array) -> np.ndarray:
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-    return flat / np.linalg.norm(flat, axis=1, keepdims=True), flat
+    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, seed: int = SEED) -> DataFrame:
-    """``vec_id_a, vec_id_b, cosine`` of all pairs a < b at the threshold.
-
-    Every vector is a query. Vectors without an id, null, empty or zero ones
-    and those with a null, NaN or infinite entry are in no pair; only vectors
-    of one length can pair. Of rows that repeat an id, the greatest embedding
-    counts. Other columns aren't read. At most ``miss`` of the pairs right at
-    the threshold are expected to be missed by the tables, fewer of closer
-    ones, and about 3 % of the remaining by the confidence bound when they
-    lie at it; identical vectors never.
-    """
-    square = "aggregate(v, cast(0 as double), (s, x) -> s + x * x)"
-    rows = vectors.selectExpr("cast(vec_id as long) as vec_id", "transform(embedding, x -> cast(x as double)) as v").where("vec_id is not null and size(v) > 0")
-    rows = rows.where(f"not exists(v, x -> x is null or isnan(x)) and {square} > 0 and {square} < double('infinity')")
-    rows = cut(rows.groupBy("vec_id").agg(F.max("v").alias("v")).withColumn("dim", F.size("v")))
-    found = None
-    for r in rows.groupBy("dim").count().orderBy("dim").collect():
-        own = _near(rows.where(F.col("dim") == r["dim"]), r["dim"], r["count"], threshold, miss, seed)
-        found = own if found is None else found.unionByName(own)
-    return vectors.sparkSession.createDataFrame([], "vec_id_a long, vec_id_b long, cosine double") if found is None else found
+def far(bits: int, threshold: float) -> float:
+    """Bits by which the codes of two vectors at the threshold differ at most, but for one pair in some 100,000."""
+    p = acos(threshold) / pi
+    return bits * p + 4.5 * sqrt(bits * p * (1 - p))
 
 
-def _near(rows: DataFrame, dim: int, n: int, threshold: float, miss: float, seed: int) -> DataFrame:
+def _candidates(rows: DataFrame, dim: int, n: int, threshold: float, miss: float, seed: int) -> DataFrame:
+    """Edges (a, b) that hang vectors of near codes together, as many as vectors and tables at most."""
     bits = rotation(dim, seed=seed).shape[1]
-    places = tables(n, bits, threshold, miss, seed)
+    places, most = tables(n, bits, threshold, miss, seed), far(bits, threshold)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = rotation(dim, seed=seed)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit, _ = _unit(batch.column("v"))
-            code, factor = encode(unit, turn)
-            scale = np.abs(unit).max(axis=1) / 127
-            # rounded at random, so that the estimate stays unbiased; the draw depends on the vector alone
-            part = unit / scale[:, None]
-            at = t.mix(np.ascontiguousarray(unit).view(t.U)) / t.U(1 << 32) / 2.0**32
-            small = np.clip(np.floor(part + at), -127, 127)
-            lost = np.linalg.norm(unit - small * scale[:, None], axis=1)
-            keys = _keys(code, places)
-            many = keys.shape[1]
-            owner = np.repeat(np.arange(len(unit)), many)
-            packed = np.packbits(code, axis=1)
-            load = np.concatenate([packed, small.astype(np.int8).view(np.uint8)], axis=1)
-            offsets = np.arange(len(owner) + 1) * load.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().view(np.int64)), batch.column("vec_id").take(pa.array(owner)), *[pa.array(x[owner].astype(np.float32)) for x in (factor, scale, lost)], to_binary(load[owner].ravel(), offsets)],
-                ["key", "vec_id", "factor", "scale", "lost", "load"],
-            )
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if batch.num_rows:
+                code, _ = encode(_unit(batch.column("v")), turn)
+                keys = _keys(code, places)
+                owner = np.repeat(np.arange(len(code)), keys.shape[1])
+                packed = np.packbits(code, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column("id").take(pa.array(owner)), to_binary(packed[owner].ravel(), np.arange(len(owner) + 1) * packed.shape[1])], ["root", "id", "code"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = rotation(dim, seed=seed)
+        for batch in batches:
+            if batch.num_rows:
+                key, many = np.unique(_keys(encode(_unit(batch.column("v")), turn)[0], places), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(many)], ["hot", "n"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in whole_groups(batches, "block", 20_000):
+            for table in _groups.tables(held, 20_000):
+                code = binary_rows(table["code"])[0].reshape(table.num_rows, -1).view(t.U)
+                own, chunk, apart = (column(table, c) for c in ("id", "chunk", "apart"))
+                left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i, j in pairs_in_groups(column(table, "block"), 500_000):
+                    near = (np.bitwise_count(code[i] ^ code[j]).sum(axis=1, dtype=np.int64) <= most) & (~apart[i] | (chunk[i] != chunk[j]))
+                    left.append(i[near])
+                    right.append(j[near])
+                root = own[local_roots(len(own), np.concatenate(left), np.concatenate(right))]
+                if (root != own).any():
+                    edge = np.unique(np.stack([root, own], axis=1)[root != own], axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["a", "b"])
+
+    hot = rows.mapInArrow(count, "hot long, n long").groupBy("hot").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
+    hot = few(cut(hot.select("hot", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))))
+    spread = rows.mapInArrow(index, "root long, id long, code binary").join(hot, F.col("root") == F.col("hot"), "left").select("root", "id", "code", F.coalesce("chunks", F.lit(1)).alias("chunks"))
+    spread = spread.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    return each_block(spread, "code").mapInArrow(link, "a long, b long").distinct()
+
+
+def _links(rows: DataFrame, dim: int, n: int, threshold: float, miss: float, seed: int) -> DataFrame:
+    """``id, root, n``: for each block a vector has links in, their number and the least vector they lead to."""
+    bits = rotation(dim, seed=seed).shape[1]
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = rotation(dim, seed=seed)
-        width = bits // 8 + dim
-        for table in whole_groups(batches, "key", 20_000):
-            key, vec, factor, scale, lost = (column(table, c) for c in ("key", "vec_id", "factor", "scale", "lost"))
-            several = np.zeros(len(key), bool)
-            several[1:] |= key[1:] == key[:-1]
-            several[:-1] |= key[1:] == key[:-1]
-            if not several.any():
-                continue
-            key, vec, factor, scale, lost = (x[several] for x in (key, vec, factor, scale, lost))
-            load = binary_rows(table["load"])[0].reshape(-1, width)[several]
-            code = np.unpackbits(load[:, : bits // 8], axis=1)
-            turned = (load[:, bits // 8 :].view(np.int8) * scale[:, None].astype(np.float32)) @ turn.astype(np.float32)
-            most = bounds(factor.astype(np.float64), bits)
-            keys = _keys(code, places)
-            for i, j in pairs_in_groups(key, 20_000):
-                # the first table in which both meet has the pair
-                first = (keys[i] == keys[j]).argmax(axis=1)
-                own = (vec[i] != vec[j]) & (keys[i, first].view(np.int64) == key[i])
-                i, j = i[own], j[own]
-                up = estimates(code[i], factor[i], turned[j]) + most[i] + lost[j]
-                maybe = up >= threshold
-                i, j = vec[i[maybe]], vec[j[maybe]]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["vec_id_a", "vec_id_b"])
-
-    spread = rows.select("vec_id", "v").mapInArrow(index, "key long, vec_id long, factor float, scale float, lost float, load binary")
-    pairs = spread.repartition("key").sortWithinPartitions("key", "vec_id").mapInArrow(meet, "vec_id_a long, vec_id_b long")
-    a, b = rows.selectExpr("vec_id as vec_id_a", "v as va"), rows.selectExpr("vec_id as vec_id_b", "v as vb")
-    dot = "aggregate(zip_with({0}, {1}, (x, y) -> x * y), cast(0 as double), (s, x) -> s + x)"
-    cosine = f"{dot.format('va', 'vb')} / sqrt({dot.format('va', 'va')}) / sqrt({dot.format('vb', 'vb')})"
-    exact = pairs.join(a, "vec_id_a").join(b, "vec_id_b").selectExpr("vec_id_a", "vec_id_b", f"{cosine} as cosine")
-    return exact.where(F.col("cosine") >= threshold)
+        for held in whole_groups(batches, "block", BLOCK):
+            for table in _groups.tables(held, BLOCK):
+                own, chunk, apart = (column(table, c) for c in ("id", "chunk", "apart"))
+                unit = _unit(table["v"].combine_chunks())
+                code, factor = encode(unit, turn)
+                turned, most = unit @ turn, bounds(factor, bits)
+                left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i, j in pairs_in_groups(column(table, "block"), 20_000):
+                    meets = ~apart[i] | (chunk[i] != chunk[j])
+                    i, j = i[meets], j[meets]
+                    maybe = estimates(code[i], factor[i], turned[j]) + most[i] >= threshold
+                    i, j = i[maybe], j[maybe]
+                    good = (unit[i] * unit[j]).sum(axis=1) >= threshold
+                    left.append(i[good])
+                    right.append(j[good])
+                i, j = np.concatenate(left), np.concatenate(right)
+                links = np.bincount(i, minlength=len(own)) + np.bincount(j, minlength=len(own))
+                root, some = own[local_roots(len(own), i, j)], links > 0
+                if some.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (own, root, links)], ["id", "root", "n"])
+
+    home = components(_candidates(rows, dim, n, threshold, miss, seed))
+    places = cut(blocked(home.withColumn("weight", F.lit(1)), BLOCK, BLOCK))
+    members = rows.join(few(places.withColumnRenamed("id", "own")), F.col("id") == F.col("own")).select("id", "root", "chunks", "chunk", "v")
+    return each_block(members, "v").mapInArrow(verify, "id long, root long, n long")
+
+
+def classes(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, seed: int = SEED) -> DataFrame:
+    """``vec_id, class_id, n_links, n_copies`` of every vector.
+
+    Equal vectors are copies; ``n_copies`` counts the others. Two different
+    vectors of a cosine at the threshold are linked; ``n_links`` counts the
+    different vectors that a vector's is linked to. A class is what hangs
+    together by links and copies, ``class_id`` the least vec_id in it.
+
+    Rows without an id are left out. Null, empty or zero vectors and those with
+    a null, NaN or infinite entry are classes of their own with nothing linked;
+    only vectors of one length can be linked. Of rows that repeat an id, the
+    greatest usable embedding counts. Other columns aren't read; an empty table
+    gives no rows. At most ``miss`` of the links right at the threshold are
+    expected to be missed by the tables, fewer of closer ones.
+    """
+    square = "aggregate(v, cast(0 as double), (s, x) -> s + x * x)"
+    rows = vectors.selectExpr("cast(vec_id as long) as vec_id", "transform(embedding, x -> cast(x as double) + 0.0D) as v").where("vec_id is not null")
+    usable = F.expr(f"size(v) > 0 and not exists(v, x -> x is null or isnan(x)) and {square} > 0 and {square} < double('infinity')")
+    rows = cut(rows.groupBy("vec_id").agg(F.max(F.when(usable, F.col("v"))).alias("v")).select("vec_id", "v", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")))
+    # one of equal vectors stands for all
+    known = cut(rows.where("v is not null").groupBy("h", "g").agg(F.min_by("v", "vec_id").alias("v"), F.min("vec_id").alias("id"), (F.count("*") - 1).alias("n_copies")))
+    found = None
+    for r in known.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect():
+        own = _links(known.where(F.size("v") == r["dim"]).select("id", "v"), r["dim"], r["count"], threshold, miss, seed)
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], "id long, root long, n long")
+    found = stored(found)
+    links = found.groupBy("id").agg(F.sum("n").alias("n_links"))
+    home = components(found.select(F.col("root").alias("a"), F.col("id").alias("b")))
+    none = F.lit(0).cast("long")
+    some = known.select("h", "g", "id", "n_copies").join(links, "id", "left").where("n_copies > 0 or n_links > 0").join(home, "id", "left")
+    # ids are least already, and so are roots: the least id of the least vectors
+    some = few(cut(some.select(F.col("h").alias("_h"), F.col("g").alias("_g"), F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", none).alias("n_links"), "n_copies")))
+    joined = rows.select("vec_id", "h", "g", F.col("v").isNotNull().alias("ok")).join(some, F.col("ok") & (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")), "left")
+    return joined.select("vec_id", F.coalesce("class_id", "vec_id").alias("class_id"), F.coalesce("n_links", none).alias("n_links"), F.coalesce("n_copies", none).alias("n_copies"))
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of embeddings with a cosine of 0.95 or more."""
-    return near_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("cosine", F.round("cosine", 6))
+    """Every embedding with its class, copies and links at a cosine of 0.95."""
+    return classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 OP10_SQL = f"""
-with rows as (
-  select vec_id, max(embedding::double[]) as v from embeddings
-  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0 group by 1
-), good as (select vec_id, v, list_dot_product(v, v) as n from rows where list_dot_product(v, v) > 0 and list_dot_product(v, v) < 'infinity'::double)
-select a.vec_id as vec_id_a, b.vec_id as vec_id_b, round(list_dot_product(a.v, b.v) / sqrt(a.n) / sqrt(b.n), 6) as cosine
-from good a join good b on a.vec_id < b.vec_id and len(a.v) = len(b.v)
-where list_dot_product(a.v, b.v) / sqrt(a.n) / sqrt(b.n) >= {THRESHOLD}
+with recursive rows as (
+  select vec_id, max(case when len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0
+                           and list_dot_product(embedding::double[], embedding::double[]) > 0 and list_dot_product(embedding::double[], embedding::double[]) < 'infinity'::double then embedding::double[] end) as v
+  from embeddings where vec_id is not null group by 1
+), named as (select vec_id, v, case when v is null then vec_id else min(vec_id) over (partition by v) end as first, case when v is null then 0 else count(*) over (partition by v) - 1 end as copies from rows),
+reps as (select vec_id, v, sqrt(list_dot_product(v, v)) as norm from named where vec_id = first and v is not null),
+found as (select a.vec_id as x, b.vec_id as y from reps a join reps b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_dot_product(a.v, b.v) / a.norm / b.norm >= {THRESHOLD}),
+reach as (select x, y from found union select r.x, f.y from reach r join found f on r.y = f.x),
+least_of as (select x, min(y) as root from reach group by x),
+links as (select x, count(*) as n_links from found group by x)
+select vec_id, least(first, coalesce(root, first)) as class_id, coalesce(n_links, 0)::bigint as n_links, copies::bigint as n_copies
+from named left join least_of on first = least_of.x left join links on first = links.x
 """

@@ -59,7 +59,7 @@ def test_empty_tables(spark):
     assert substring.remove_spans(docs, substring.duplicate_spans(docs)).count() == 0
     assert bpe.tokenise(docs).count() == 0
     assert langid.identify(docs, langid.fit(docs)).count() == 0
-    assert neardup.near_pairs(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert neardup.classes(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert chattree.chat_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -139,15 +139,26 @@ def test_recall_of_signatures_by_size():
         assert np.mean([bool(sets[2 * i] & sets[2 * i + 1]) for i in range(many)]) >= (0.98 if n < 60 else 1), n
 
 
-def test_near_pairs_against_brute_force(spark):
+def test_near_vectors_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 64))
-    near = np.concatenate([base, base + rng.normal(size=base.shape) * rng.uniform(0.05, 0.35, (150, 1)), base[:20]]).astype(np.float32)
-    unit = near / np.linalg.norm(near, axis=1, keepdims=True)
-    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.95, 1)), strict=True)}
-    rows = [(i, v.tolist()) for i, v in enumerate(near)] + [(900, None), (901, []), (902, [0.0] * 64), (903, [float("nan")] * 64), (None, near[0].tolist()), (904, near[0].tolist()[:32])]
-    got = {(r[0], r[1]) for r in neardup.near_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
-    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 80
+    hot = base[0] + rng.normal(size=(50, 64)) * 0.05
+    near = np.concatenate([base, base + rng.normal(size=base.shape) * rng.uniform(0.05, 0.3, (150, 1)), hot, base[:20]]).astype(np.float32)
+    unit = near.astype(np.float64) / np.linalg.norm(near.astype(np.float64), axis=1, keepdims=True)
+    different = (near[:, None] != near[None]).any(axis=2)
+    linked = (unit @ unit.T >= 0.95) & different
+    first = [int(np.flatnonzero(~d)[0]) for d in different]
+    reach = linked | ~different
+    for _ in range(8):
+        reach = (reach.astype(np.int32) @ reach) > 0
+    want = {i: (int(np.flatnonzero(reach[i])[0]), len({first[j] for j in np.flatnonzero(linked[i])}), int((~different[i]).sum()) - 1) for i in range(len(near))}
+    rows = [(i, v.tolist()) for i, v in enumerate(near)] + [(900, None), (901, []), (902, [0.0] * 64), (903, [float("nan")] * 64), (None, near[0].tolist()), (904, near[0].tolist()[:32]), (5, None)]
+    want |= {i: (i, 0, 0) for i in range(900, 905)}
+    for most in (2000, 9):
+        monkeypatch.setattr(neardup, "BLOCK", most)
+        vectors = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, id int")
+        got = {r[0]: tuple(r)[1:] for r in neardup.classes(vectors).collect()}
+        assert got == want and sum(x[1] for x in want.values()) > 2000
 
 
 def test_estimates_are_unbiased():
