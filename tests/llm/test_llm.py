@@ -185,6 +185,61 @@ def test_windows_that_share_32_bits_are_not_duplicates(spark):
     assert [(r["doc_id"], r["ref_doc_id"]) for r in substring.duplicate_spans(docs).collect()] == [(2, 0)]
 
 
+def brute_parse(texts, least=50):
+    """Factors by comparing words with words; ids are places in the list."""
+    words = [x.split() for x in texts]
+    first = {}
+    for d, w in enumerate(words):
+        for p in range(len(w) - least + 1):
+            first.setdefault(tuple(w[p : p + least]), (d, p))
+    found = []
+    for d, w in enumerate(words):
+        lines = {}
+        for p in range(len(w) - least + 1):
+            r, q = first[tuple(w[p : p + least])]
+            if (r, q) != (d, p):
+                lines.setdefault((r, q - p), p)
+        runs = set()
+        for p in range(len(w) - least + 1):
+            r, q = first[tuple(w[p : p + least])]
+            if (r, q) != (d, p):
+                a, b = p, p + least
+                while a > 0 and q - p + a > 0 and w[a - 1] == words[r][q - p + a - 1]:
+                    a -= 1
+                while b < len(w) and q - p + b < len(words[r]) and w[b] == words[r][q - p + b]:
+                    b += 1
+                runs.add((a, b, r, q - p))
+        at = 0
+        while at < len(w):
+            cover = [(-b, r, shift) for a, b, r, shift in runs if a <= at < b]
+            if not cover:
+                at += 1
+                continue
+            b, r, shift = min(cover)
+            found.append((d, at, -b, r, at + shift))
+            at = -b
+    return found
+
+
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_parse_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)
+    p, q = prose(21, 100).split(), prose(22, 60).split()
+    both = " ".join([*p[40:], *q])
+    texts = [" ".join(p), both, both, prose(5, 49), "", " ".join([*prose(6, 50).split()] * 3)]
+    rng = np.random.default_rng(2)
+    pool = [prose(40 + i, 130).split() for i in range(4)]
+    for i in range(60):
+        parts = [prose(100 + i, 20)]
+        for _ in range(int(rng.integers(1, 5))):
+            x, a, n = pool[int(rng.integers(4))], int(rng.integers(0, 60)), int(rng.integers(40, 130))
+            parts.append(" ".join(x[a : a + n]))
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame([*enumerate(texts), (2, both)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.ref_doc_id, r.ref_start_word) for r in substring.duplicate_spans(docs).collect())
+    assert got == sorted(brute_parse(texts)) and (2, 0, 120, 1, 0) in got and len(got) > 60
+
+
 def test_water_filling():
     given = mixing.water_fill({"a": 10, "b": 100, "c": 0}, {"a": 5, "b": 1}, 110, 2)
     assert given["a"] == 2 and abs(given["b"] * 100 + 20 - 110) < 1e-9 and given["c"] == 0
