@@ -30,6 +30,10 @@ PASSAGE, STEP = 24, 8
 LEAST = 100
 #: Labelled documents that training reads at most, as many toxic ones as clean.
 TRAIN_DOCS = 3000
+#: Models that are averaged, and shares of the labelled texts that each of them doesn't see.
+FOLDS, LEFT_OUT = 6, 2
+#: Share of errors by which a threshold may be worse than the best one.
+NEARLY = 0.01
 
 
 @dataclass
@@ -68,58 +72,51 @@ def _passages(n_words: int) -> tuple[np.ndarray, np.ndarray]:
     return first, np.minimum(first + PASSAGE, n_words)
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4, rate: float = 0.3) -> Model:
-    """Fit on labelled texts; with one class only, nothing is ever called toxic.
+def _centred(emb: np.ndarray, out: np.ndarray, bias: np.ndarray, bags: list, clean: np.ndarray) -> tuple[np.ndarray, float]:
+    """Scores and bias shifted so that a feature that isn't there counts as an average one of clean texts."""
+    raw = emb @ (out[:, 1] - out[:, 0])
+    means = [float(raw[bags[k][0]].mean()) for k in clean if len(bags[k][0])]
+    mean = float(np.mean(means)) if means else 0.0
+    return raw - np.float32(mean), float(bias[1] - bias[0]) + mean
+
+
+def _worst(bag: tuple, small: np.ndarray, shift: float) -> tuple[int, float]:
+    """The passage of a text that scores highest, and its score."""
+    ids, w, a, b, c = bag
+    if not len(ids):
+        return 0, -np.inf
+    v = np.concatenate([[0], np.cumsum(small[ids], dtype=np.float64)])
+    s = (v[w[b]] - v[w[a]]) / np.maximum(c[b] - c[a], LEAST)
+    return int(np.argmax(s)), float(s.max() + shift)
+
+
+def _learn(bags: list, y: np.ndarray, use: np.ndarray, rng: np.random.Generator, rounds: int, rate: float) -> tuple[np.ndarray, float]:
+    """Scores and bias learnt from the texts in ``use``.
 
     Each round takes the passage of each toxic text that the model so far
     holds the worst (at first: all its passages), against random and worst
-    passages of the clean ones. A fifth of the texts is held out of that and
-    sets the threshold.
+    passages of the clean ones.
     """
-    y = np.asarray(toxic, dtype=np.int64)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, np.inf)
-    rng = np.random.default_rng(seed)
-    bags = [(i, w, *_passages(len(w) - 1), c) for i, w, c in _bags(texts)]
-    held = rng.random(len(y)) < 0.2
-    for c in (0, 1):  # each class must be learnt from
-        if held[y == c].all():
-            held[y == c] = False
     emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     out = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     g_emb, g_out, g_bias = np.full(1 << BITS, 1e-3, np.float32), np.full((DIM, 2), 1e-3, np.float32), np.full(2, 1e-3, np.float32)
-
-    def worst(k: int) -> tuple[int, float]:
-        ids, w, a, b, c = bags[k]
-        if not len(ids):
-            return 0, -np.inf
-        v = np.concatenate([[0], np.cumsum(small[ids], dtype=np.float64)])
-        s = (v[w[b]] - v[w[a]]) / np.maximum(c[b] - c[a], LEAST)
-        return int(np.argmax(s)), float(s.max() + shift)
-
-    def centred() -> tuple[np.ndarray, float]:
-        """Scores and bias shifted so that a feature that isn't there counts as an average one of clean texts."""
-        raw = emb @ (out[:, 1] - out[:, 0])
-        means = [float(raw[bags[k][0]].mean()) for k in np.flatnonzero(~held & (y == 0)) if len(bags[k][0])]
-        mean = float(np.mean(means)) if means else 0.0
-        return raw - np.float32(mean), float(bias[1] - bias[0]) + mean
-
+    clean = np.array([k for k in use if not y[k]])
     for r in range(rounds):
-        small, shift = centred()
+        small, shift = _centred(emb, out, bias, bags, clean)
         pick: list[tuple[int, int]] = []
-        for k in np.flatnonzero(~held):
+        for k in use:
             ids, _, a, _, _ = bags[k]
             if not len(ids):
                 continue
             if y[k] and r == 0:
                 pick += [(k, int(j)) for j in rng.integers(0, len(a), min(len(a), 12))]
             elif y[k]:
-                pick.append((k, worst(k)[0]))
+                pick.append((k, _worst(bags[k], small, shift)[0]))
             else:
                 pick += [(k, int(j)) for j in rng.integers(0, len(a), 3)]
                 if r:
-                    pick.append((k, worst(k)[0]))
+                    pick.append((k, _worst(bags[k], small, shift)[0]))
         label = np.array([y[k] for k, _ in pick])
         lo = np.array([bags[k][1][bags[k][2][j]] for k, j in pick])
         ln = np.array([bags[k][1][bags[k][3][j]] for k, j in pick]) - lo
@@ -141,9 +138,12 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4, ra
                 p /= p.sum(axis=1, keepdims=True)
                 d = (p - np.eye(2, dtype=np.float32)[label[some]]) * (weight[some] / len(some))[:, None]
                 d = d.astype(np.float32)
-                into = np.repeat((d @ out.T) * len(some) / 16, size, axis=0)
-                uniq, inv = np.unique(ids, return_inverse=True)
-                g = np.stack([np.bincount(inv, into[:, c], len(uniq)) for c in range(DIM)], axis=1).astype(np.float32) / np.sqrt(np.bincount(inv, minlength=len(uniq)))[:, None]
+                by_id = np.argsort(ids, kind="stable")
+                ranked = ids[by_id]
+                start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+                uniq, times = ranked[start], np.diff(np.concatenate([start, [len(ids)]]))
+                into = (d @ out.T) * (len(some) / 16)
+                g = np.add.reduceat(into[np.repeat(np.arange(len(some)), size)[by_id]], start, axis=0) / np.sqrt(times).astype(np.float32)[:, None]
                 g_emb[uniq] += (g**2).mean(axis=1)
                 emb[uniq] -= rate * g / np.sqrt(g_emb[uniq])[:, None]
                 go = h.T @ d
@@ -152,16 +152,47 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4, ra
                 gb = d.sum(axis=0)
                 g_bias += gb**2
                 bias -= 0.1 * rate * gb / np.sqrt(g_bias)
-    small, shift = centred()
-    s = np.array([worst(k)[1] for k in range(len(y))])
-    test = held if (y[held] == 1).sum() >= 10 and (y[held] == 0).sum() >= 10 else np.ones(len(y), bool)
-    bad, good = np.sort(s[test & (y == 1)]), np.sort(s[test & (y == 0)])
+    return _centred(emb, out, bias, bags, clean)
+
+
+def train(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4, rate: float = 0.3, folds: int = FOLDS) -> Model:
+    """Fit on labelled texts; with one class only, nothing is ever called toxic.
+
+    The texts are dealt into ``folds`` shares, class by class, and as many
+    models are learnt, each without ``LEFT_OUT`` shares. What stays is the mean
+    of the models, which is linear like each of them; the threshold comes from
+    the scores that the mean of the models that didn't see a text gives it.
+    """
+    y = np.asarray(toxic, dtype=np.int64)
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, np.inf)
+    rng = np.random.default_rng(seed)
+    bags = [(i, w, *_passages(len(w) - 1), c) for i, w, c in _bags(texts)]
+    fold = np.zeros(len(y), np.int64)
+    for c in (0, 1):
+        mine = rng.permutation(np.flatnonzero(y == c))
+        fold[mine] = np.arange(len(mine)) % folds
+    models = []
+    for f in range(folds):
+        use = np.flatnonzero((fold - f) % folds >= LEFT_OUT)
+        if len(np.unique(y[use])) < 2:  # a class of very few texts is in every model
+            use = np.arange(len(y))
+        models.append(_learn(bags, y, use, rng, rounds, rate))
+    small, shift = sum(m for m, _ in models) / folds, sum(b for _, b in models) / folds
+    s = np.zeros(len(y))
+    for f in range(folds):
+        unseen = [models[(f - i) % folds] for i in range(LEFT_OUT)]
+        own, bias = sum(m for m, _ in unseen) / LEFT_OUT, sum(b for _, b in unseen) / LEFT_OUT
+        for k in np.flatnonzero(fold == f):
+            s[k] = _worst(bags[k], own, bias)[1]
+    bad, good = np.sort(s[y == 1]), np.sort(s[y == 0])
     cuts = np.concatenate([bad, good])
     cuts = np.sort(cuts[np.isfinite(cuts)])
     cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
     wrong = np.searchsorted(bad, cuts) / len(bad) + (len(good) - np.searchsorted(good, cuts)) / len(good)
-    best = cuts[wrong <= wrong.min() + 1e-9]
-    return Model(small.astype(np.float32), shift, float(np.median(best)))
+    # of thresholds about as good, the lowest: a miss costs more, and the mean of all models errs less than those it is judged by
+    best = cuts[wrong <= wrong.min() + NEARLY]
+    return Model(small.astype(np.float32), shift, float(best[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, seed: int = 7) -> Model:
@@ -173,12 +204,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, seed: int =
     one document the highest counts.
     """
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    if known.schema["doc_id"].dataType != docs.schema["doc_id"].dataType:
+        known = known.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     picks = known.withColumn("_at", F.xxhash64(F.lit(seed), "doc_id"))
     chosen = picks.where("toxic = 1").orderBy("_at", "doc_id").limit(most // 2).unionByName(picks.where("toxic = 0").orderBy("_at", "doc_id").limit(most - most // 2))
     ids = [(r["doc_id"], r["toxic"]) for r in chosen.select("doc_id", "toxic").collect()]
     if not ids:
         return train([], [])
-    small = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int"))  # at most ``most`` rows
+    small = F.broadcast(docs.sparkSession.createDataFrame(ids, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int"))  # at most ``most`` rows
     rows = docs.select("doc_id", "text").where("text is not null").join(small, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], seed)

@@ -15,7 +15,7 @@ from pagewright.plans.cut import cut
 
 WORDS = 8
 BITS_PER_URL = 16
-#: Bytes of blocks up to which the filter is broadcast; a larger list is joined directly.
+#: Bytes of blocks up to which the filter is broadcast; a larger one is joined by shuffle.
 MAX_FILTER_BYTES = 64 << 20
 #: Query parameters that say where a visitor came from, not what the page is.
 TRACKING = r"(utm_[a-z]+|ref|fbclid|gclid|msclkid|mc_cid|mc_eid|igshid)"
@@ -58,7 +58,8 @@ def url_filter(pages: DataFrame, listed: DataFrame, max_filter_bytes: int = MAX_
 
     ``listed`` has a column ``url``; it is made canonical as well, and nulls,
     blanks and repetitions in it don't matter. A page with a null or blank URL
-    is not listed. Repeated pages come out repeated.
+    is not listed. Repeated pages come out repeated; other columns are dropped;
+    an empty list lists nothing, and an empty table gives no rows.
     """
     keys = cut(listed.select(canonical(F.col("url")).alias("_key")).where("_key <> ''").distinct())
     n = keys.count()
@@ -66,21 +67,19 @@ def url_filter(pages: DataFrame, listed: DataFrame, max_filter_bytes: int = MAX_
     if n == 0:
         return rows.withColumn("listed", F.lit(False))
     blocks = max(1, -(-n * BITS_PER_URL // (32 * WORDS)))
-    maybe = rows
+    table = _filter(keys, blocks)
     if blocks * (4 * WORDS + 8) <= max_filter_bytes:
-        table = F.broadcast(_filter(keys, blocks))  # its bytes are checked
-        k = F.col("canonical_url")
-        tested = rows.withColumn("_at", _block(k, blocks)).join(table, F.col("_at") == F.col("_block"), "left")
-        hit = F.lit(True)
-        for i in range(WORDS):
-            hit = hit & (F.col(f"_w{i}").bitwiseAND(_mask(k, i)) == _mask(k, i))
-        hit = F.coalesce(hit & k.isNotNull(), F.lit(False))
-        tested = tested.select("page_id", "url", "canonical_url", hit.alias("_hit"))
-        clear = tested.where(~F.col("_hit")).drop("_hit").withColumn("listed", F.lit(False))
-        maybe = tested.where("_hit").drop("_hit")
-    exact = maybe.join(keys, F.col("canonical_url") == F.col("_key"), "left")
-    exact = exact.select("page_id", "url", "canonical_url", F.col("_key").isNotNull().alias("listed"))
-    return exact if maybe is rows else clear.unionByName(exact)
+        table = F.broadcast(table)  # its bytes are checked
+    k = F.col("canonical_url")
+    tested = rows.withColumn("_at", _block(k, blocks)).join(table, F.col("_at") == F.col("_block"), "left")
+    hit = F.lit(True)
+    for i in range(WORDS):
+        hit = hit & (F.col(f"_w{i}").bitwiseAND(_mask(k, i)) == _mask(k, i))
+    hit = F.coalesce(hit & k.isNotNull(), F.lit(False))
+    tested = tested.select("page_id", "url", "canonical_url", hit.alias("_hit"))
+    clear = tested.where(~F.col("_hit")).drop("_hit").withColumn("listed", F.lit(False))
+    exact = tested.where("_hit").drop("_hit").join(keys, F.col("canonical_url") == F.col("_key"), "left")
+    return clear.unionByName(exact.select("page_id", "url", "canonical_url", F.col("_key").isNotNull().alias("listed")))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
