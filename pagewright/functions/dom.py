@@ -93,6 +93,11 @@ class _Builder(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.at.kids.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Marked sections are left out, whatever they call themselves."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
 
 def parse(html: str | None) -> Node:
     """The tree of a page; null and broken input give what can be read."""
@@ -130,6 +135,63 @@ def first(*values: str | None) -> str | None:
     return next((v.strip() for v in values if isinstance(v, str) and v.strip()), None)
 
 
+def joined(base: str, href: str) -> str | None:
+    """The address that ``href`` means on ``base``; null if that is none."""
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return None
+
+
+def authority(url: str) -> str:
+    try:
+        return urlsplit(url).netloc
+    except ValueError:
+        return ""
+
+
+def measure(root: Node, skip: Callable[[Node], bool] | None = None) -> tuple[dict[int, int], dict[int, int]]:
+    """By id of node: words under it, and characters of those words; one pass, however deep."""
+    words: dict[int, int] = {}
+    chars: dict[int, int] = {}
+    stack: list[tuple[Node, bool]] = [(root, False)]
+    while stack:
+        n, ready = stack.pop()
+        if not ready:
+            if n is not root and (n.tag in RAW or (skip and skip(n))):
+                words[id(n)] = chars[id(n)] = 0
+                continue
+            stack.append((n, True))
+            stack += [(k, False) for k in n.kids if isinstance(k, Node)]
+            continue
+        w = c = 0
+        for k in n.kids:
+            if isinstance(k, str):
+                parts = k.split()
+                w += len(parts)
+                c += sum(map(len, parts))
+            else:
+                w += words[id(k)]
+                c += chars[id(k)]
+        words[id(n)], chars[id(n)] = w, c
+    return words, chars
+
+
+def under(root: Node, value: Callable[[Node], int], skip: Callable[[Node], bool] | None = None) -> dict[int, int]:
+    """By id of node: the sum of ``value`` over the nodes under it."""
+    total: dict[int, int] = {}
+    stack: list[tuple[Node, bool]] = [(root, False)]
+    while stack:
+        n, ready = stack.pop()
+        kids = [k for k in n.kids if isinstance(k, Node) and not (skip and skip(k))]
+        if ready:
+            total[id(n)] = sum(total[id(k)] + value(k) for k in kids)
+        else:
+            stack.append((n, True))
+            stack += [(k, False) for k in kids]
+    return total
+
+
 def find(root: Node, test: Callable[[Node], bool]) -> Node | None:
     return next((n for n in root.walk() if test(n)), None)
 
@@ -154,6 +216,10 @@ _PAY_SAYS = "become a member to;create a free account to continue;member-only co
 _PAY_CLASS = frozenset("access-denied metered-paywall paid-content piano-container premium-content reg-wall subscriber-only subscription-required tp-iframe-wrapper tp-modal".split())
 
 
+_SCRIPT_SAYS = [f"enable {x}" for x in ["javascript"]] + [f"javascript {x}" for x in ("is required", "must be enabled")] + ["requires javascript to function", "this site requires javascript"]
+_SCRIPT_ROOT = re.compile("__next|__nuxt|app|root|angular-app|app-root|ember-application|gatsby-focus-wrapper")
+
+
 def signals(root: Node) -> dict:
     """What the classifier needs to know of a page."""
     body = find(root, lambda n: n.tag == "body") or root
@@ -175,6 +241,7 @@ def signals(root: Node) -> dict:
         "has_meta_title": any(n.tag == "title" or (n.tag == "meta" and n.get("property") == "og:title") for n in nodes),
         "has_article_schema": any(n.get("type") == "application/ld+json" and re.search("Article|BlogPosting", "".join(map(str, n.kids))) for n in scripts),
         "amp_url": next((n.get("href") for n in links if "amphtml" in n.get("rel").split()), None),
+        "next_url": next((n.get("href") for n in links if "next" in n.get("rel").split()), None),
         "feed_url": next((n.get("href") for n in links if "alternate" in n.get("rel").split() and re.search("rss|atom", n.get("type"))), None),
     }
 
@@ -198,9 +265,46 @@ def content_score(root: Node) -> int:
 # metadata
 
 _ARTICLE_TYPES = frozenset("Article BlogPosting NewsArticle Report ScholarlyArticle SocialMediaPosting TechArticle WebPage WebSite".split())
+_MONTHS = {
+    m: i // 4 + 1
+    for i, m in enumerate(
+        "january janvier januar enero february février februar febrero march mars märz marzo april avril april abril may mai mai mayo june juin juni junio "
+        "july juillet juli julio august août august agosto september septembre september septiembre october octobre oktober octubre november novembre november noviembre december décembre dezember diciembre".split()
+    )
+}
+_ZONES = {"est": "-0500", "edt": "-0400", "cst": "-0600", "cdt": "-0500", "mst": "-0700", "mdt": "-0600", "pst": "-0800", "pdt": "-0700", "gmt": "+0000", "utc": "+0000", "z": "+0000", "cet": "+0100", "cest": "+0200", "bst": "+0100"}
+_TEMPLATES = tuple(f"{day}{time}" for day in ("%d %m %Y", "%m %d %Y", "%Y %m %d") for time in ("", " %H:%M:%S", " %H:%M", " %I:%M:%S %p", " %I:%M %p"))
 _FORMATS = ("%a, %d %b %Y %H:%M:%S %z", "%d %b %Y %H:%M:%S %z", "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y", "%Y/%m/%d", "%Y-%m", "%B %Y", "%Y")
 
 
+def _worded(text: str) -> datetime | None:
+    """A date as people write it: months by name in four languages, ordinals, weekdays, am and pm, named zones."""
+    zone, words = "", []
+    for w in re.sub(r"(?i)(\d)(st|nd|rd|th|er|\.)(?=\W|$)", r"\1", text.lower().replace(",", " ")).split():
+        if w in _ZONES:
+            zone = _ZONES[w]
+        elif re.fullmatch(r"[+-]\d{2}:?\d{2}", w):
+            zone = w
+        elif (m := next((n for name, n in _MONTHS.items() if w.rstrip(".") == name or (len(w.rstrip(".")) >= 3 and name.startswith(w.rstrip(".")))), None)) and w[0].isalpha():
+            words.append(f"{m:02d}|")
+        elif re.fullmatch(r"\d{1,4}|\d{1,2}:\d{2}(:\d{2})?|am|pm", w):
+            words.append(w)
+        elif re.fullmatch(r"\d{1,2}:\d{2}(:\d{2})?(am|pm)", w):
+            words += [w[:-2], w[-2:]]
+    month = next((i for i, w in enumerate(words) if w.endswith("|")), None)
+    if month is None:
+        return None
+    tidy = " ".join(w.rstrip("|") for w in words)
+    order = _TEMPLATES if month else _TEMPLATES[5:]
+    for form in [*order, "%m %Y"]:
+        try:
+            found = datetime.strptime(tidy, form)
+            return datetime.strptime(f"{tidy} {zone}", f"{form} %z") if zone else found
+        except ValueError:
+            continue
+    return None
+
+
 def parse_date(raw: str | None) -> str | None:
     """ISO text of a date between 1990 and 2099, in UTC where it names no zone; else null."""
     text = " ".join((raw or "").split())
@@ -216,6 +320,7 @@ def parse_date(raw: str | None) -> str | None:
                 break
             except ValueError:
                 continue
+    found = found or _worded(text)
     if not found or not 1990 <= found.year <= 2099:
         return None
     return (found if found.tzinfo else found.replace(tzinfo=UTC)).isoformat()
@@ -228,7 +333,7 @@ def _json_ld(root: Node) -> dict:
             continue
         try:
             data = json.loads("".join(k for k in n.kids if isinstance(k, str)))
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
         items = data if isinstance(data, list) else data.get("@graph", [data]) if isinstance(data, dict) else []
         for x in items if isinstance(items, list) else []:
@@ -244,6 +349,34 @@ def _name(value: object) -> str | None:
     return value if isinstance(value, str) else None
 
 
+def _meta_images(metas: dict[str, str], ld: dict, url: str) -> list[dict]:
+    """Images that only the page's head names: the social card's, then the structured data's if it is another."""
+    own = ld.get("image")
+    own = own[0] if isinstance(own, list) and own else own
+    named = [(metas.get("og:image"), metas.get("og:image:alt"))]
+    named.append((own.get("url"), own.get("description")) if isinstance(own, dict) else (own, None))
+    found: dict[str, dict] = {}
+    for src, alt in named:
+        full = joined(url, src) if isinstance(src, str) and src.strip() else None
+        if full:
+            found.setdefault(full, {"url": full, "alt": alt if isinstance(alt, str) and alt else None, "caption": None})
+    return list(found.values())
+
+
+def needs_js(root: Node, least: int = 100) -> bool:
+    """Whether a page seems to show its content only after scripts have run."""
+    says = root.text().lower()
+    if any(x in says for x in _SCRIPT_SAYS):
+        return True
+    nodes = list(root.walk())
+    if any(n.tag == "noscript" and word_count(n.text()) > 15 for n in nodes):
+        return True
+    words = word_count(root.text(BLOCK_CHROME))
+    if words < least and any(_SCRIPT_ROOT.fullmatch(n.get("id")) or "data-reactroot" in n.attrs or "data-server-rendered" in n.attrs or (n.tag == "div" and "ng-app" in n.attrs) for n in root.walk(BLOCK_CHROME)):
+        return True
+    return words < 50 and sum(n.tag == "script" and bool(n.get("src")) for n in nodes) > 8
+
+
 def metadata(root: Node, url: str) -> dict:
     """Title, people, dates and so on, each from the best place that has it."""
     nodes, ld = list(root.walk()), _json_ld(root)
@@ -271,11 +404,12 @@ def metadata(root: Node, url: str) -> dict:
         "author": first(_name(ld.get("author")), metas.get("article:author"), metas.get("twitter:creator"), metas.get("author")),
         "published_at": parse_date(first(text("datePublished"), metas.get("article:published_time"), metas.get("pubdate"), time)),
         "updated_at": parse_date(first(text("dateModified"), metas.get("article:modified_time"), metas.get("og:updated_time"))),
-        "site_name": first(metas.get("og:site_name"), _name(ld.get("publisher")), urlsplit(url).netloc.replace("www.", "")),
+        "site_name": first(metas.get("og:site_name"), _name(ld.get("publisher")), authority(url).replace("www.", "")),
         "summary": first(text("description"), metas.get("og:description"), metas.get("twitter:description"), metas.get("description")),
         "language": language,
         "tags": list({w.lower(): w for w in reversed(words)}.values())[::-1],
-        "canonical_url": urljoin(url, canonical) if canonical else metas.get("og:url") or url,
+        "canonical_url": (joined(url, canonical) if canonical else None) or metas.get("og:url") or url,
+        "meta_images": _meta_images(metas, ld, url),
     }
 
 
@@ -298,14 +432,13 @@ def by_structure(root: Node) -> tuple[Node, int]:
         hits = [(word_count(n.text(clean)), n) for n in nodes if chosen(n)]
         if hits and (best := max(hits, key=lambda x: x[0]))[0] >= 10:
             return best[1], best[0]
-    total = word_count(body.text(clean))
+    words, _ = measure(root, clean)
+    total = words[id(body)]
+    inside = under(root, lambda n: words[id(n)] if n.tag == "p" else 0, clean)
     scored = []
     for n in nodes:
-        if n.tag in ("div", "section"):
-            count = word_count(n.text(clean))
-            inside = sum(word_count(p.text(clean)) for p in n.walk(clean) if p.tag == "p")
-            if inside >= 10:
-                scored.append((inside * inside / max(count, 1), count, n))
+        if n.tag in ("div", "section") and inside[id(n)] >= 10:
+            scored.append((inside[id(n)] ** 2 / max(words[id(n)], 1), words[id(n)], n))
     if scored and (top := max(scored, key=lambda x: x[0]))[1] >= 0.55 * total:
         return top[2], top[1]
     return body, total
@@ -316,8 +449,9 @@ def by_paragraphs(root: Node) -> tuple[Node, int] | None:
     clean = lambda n: DOM_CHROME(n) or noisy(n) or consent(n)
     score: dict[int, float] = {}
     who: dict[int, Node] = {}
+    words, chars = measure(root, clean)
     for p in root.walk(clean):
-        if p.tag not in ("p", "pre", "td"):
+        if p.tag not in ("p", "pre", "td") or chars[id(p)] + words[id(p)] < 26:
             continue
         text = p.text(clean)
         if len(text) < 25:
@@ -330,13 +464,14 @@ def by_paragraphs(root: Node) -> tuple[Node, int] | None:
     if not score:
         return None
 
+    whole, letters = measure(root)
+    linked = under(root, lambda n: max(letters[id(n)] + whole[id(n)] - 1, 0) if n.tag == "a" else 0, clean)
+
     def worth(key: int) -> float:
-        n = who[key]
-        linked = sum(len(a.text()) for a in n.walk(clean) if a.tag == "a")
-        return score[key] * (1 - linked / max(len(n.text(clean)), 1))
+        return score[key] * (1 - linked.get(key, 0) / max(chars.get(key, 0) + words.get(key, 0) - 1, 1))
 
     best = who[max(score, key=worth)]
-    return best, word_count(best.text(clean))
+    return best, words.get(id(best), 0)
 
 
 def main_content(root: Node) -> tuple[Node, str, int]:
@@ -362,7 +497,8 @@ def _image(n: Node, base: str) -> dict | None:
         return None
     figure = n.parent if n.parent and n.parent.tag == "figure" else None
     caption = next((k.text() for k in figure.walk() if k.tag == "figcaption"), None) if figure else None
-    return {"url": urljoin(base, src), "alt": n.get("alt") or None, "caption": caption}
+    full = joined(base, src)
+    return full and {"url": full, "alt": n.get("alt") or None, "caption": caption}
 
 
 def images(node: Node, base: str) -> list[dict]:
@@ -375,7 +511,7 @@ def images(node: Node, base: str) -> list[dict]:
 
 def links(node: Node, base: str) -> list[dict]:
     """Links in order, the first of each address; anchors and mail addresses don't count."""
-    host = urlsplit(base).netloc.lower()
+    host = authority(base).lower()
     found: dict[str, dict] = {}
     for n in node.walk():
         href = n.get("href").strip() if n.tag == "a" else ""
@@ -450,72 +586,151 @@ def blocks(node: Node, base: str) -> list[dict]:
     return out
 
 
-def _inline(n: Node) -> str:
-    parts = []
-    for k in n.kids:
-        if isinstance(k, str):
-            parts.append(re.sub(r"\s+", " ", k))
-        elif k.tag == "br":
-            parts.append("\n")
-        elif k.tag == "img":
-            parts.append(f"![{k.get('alt')}]({k.get('src')})")
-        elif k.tag not in RAW and k.tag != "noscript":
-            text = _inline(k)
-            mark = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`"}.get(k.tag)
-            if mark and text.strip():
-                text = f"{mark}{text.strip()}{mark}"
-            elif k.tag == "a" and k.get("href"):
-                text = f"[{text}]({k.get('href')})"
-            parts.append(text)
-    return "".join(parts)
+_MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`"}
+
+
+def _closed(n: Node, text: str) -> str:
+    """An inline element's text in its own marks."""
+    if (mark := _MARKS.get(n.tag)) and text.strip():
+        return f"{mark}{text.strip()}{mark}"
+    return f"[{text}]({n.get('href')})" if n.tag == "a" and n.get("href") else text
+
+
+def _inline(n: Node, skip: Callable[[Node], bool] | None = None) -> str:
+    """The text in an element with its marks, without what is skipped; as deep as it goes."""
+    stack: list[tuple[Node, Iterator[Node | str], list[str]]] = [(n, iter(n.kids), [])]
+    while True:
+        at, kids, parts = stack[-1]
+        for k in kids:
+            if isinstance(k, str):
+                parts.append(re.sub(r"\s+", " ", k))
+            elif k.tag == "br":
+                parts.append("\n")
+            elif k.tag == "img":
+                parts.append(f"![{k.get('alt')}]({k.get('src')})")
+            elif k.tag not in RAW and k.tag != "noscript" and not (skip and skip(k)):
+                stack.append((k, iter(k.kids), []))
+                break
+        else:
+            stack.pop()
+            if not stack:
+                return "".join(parts)
+            stack[-1][2].append(_closed(at, "".join(parts)))
+
+
+_LISTS = tags("ul ol")
+_BOXES = tags("div section article main figure body html #root dl")
+_HEAD = tags("head title meta link")
+
+
+def _list(n: Node) -> str:
+    """A list's lines; a list in an item is set in by two spaces more."""
+    lines: list[str] = []
+    stack: list[tuple[Iterator[tuple[int, Node]], str, int]] = [(_numbered(n), n.tag, 0)]
+    while stack:
+        items, kind, indent = stack[-1]
+        i, item = next(items, (0, None))
+        if item is None:
+            stack.pop()
+            continue
+        lines.append(" " * min(indent, 40) + (f"{i}. " if kind == "ol" else "- ") + _inline(item, _LISTS).strip())
+        inner, look = [], list(reversed(item.kids))
+        while look:
+            k = look.pop()
+            if isinstance(k, Node):
+                if _LISTS(k):
+                    inner.append(k)
+                else:
+                    look += reversed(k.kids)
+        stack += [(_numbered(k), k.tag, indent + 2) for k in reversed(inner)]
+    return "\n".join(lines)
+
+
+def _numbered(n: Node) -> Iterator[tuple[int, Node]]:
+    return iter([*enumerate((x for x in n.kids if isinstance(x, Node) and x.tag == "li"), 1)])
+
+
+def _table(n: Node) -> str:
+    rows = _rows(n)
+    if not rows:
+        return ""
+    width = max(map(len, rows))
+    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+    return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])
 
 
 def markdown(node: Node) -> str:
     """Markdown of an element: # headings, - lists, fenced code with its language."""
     out: list[str] = []
-
-    def walk(n: Node, depth: int) -> None:
-        for k in n.kids:
-            if isinstance(k, str):
-                if k.strip():
-                    out.append(" ".join(k.split()))
-            elif BLOCK_CHROME(k) or consent(k) or k.tag == "template":
-                continue
-            elif k.tag in HEADINGS:
-                out.append("#" * int(k.tag[1]) + " " + _inline(k).strip())
-            elif k.tag == "pre":
-                out.append(f"```{_language(k) or ''}\n" + "".join(k.strings()).strip("\n") + "\n```")
-            elif k.tag in ("ul", "ol"):
-                rows = [x for x in k.kids if isinstance(x, Node) and x.tag == "li"]
-                out.append("\n".join((f"{i}. " if k.tag == "ol" else "- ") + _inline(x).strip() for i, x in enumerate(rows, 1)))
-            elif k.tag == "blockquote":
-                out.append("\n".join("> " + line for line in _inline(k).strip().splitlines()))
-            elif k.tag == "table":
-                rows = _rows(k)
-                if rows:
-                    width = max(map(len, rows))
-                    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-                    out.append("\n".join([lines[0], "|" + " --- |" * width, *lines[1:]]))
-            elif k.tag == "hr":
-                out.append("---")
-            elif k.tag in ("div", "section", "article", "main", "figure", "body", "html", "#root", "dl") and depth < 200:
-                walk(k, depth + 1)
-            elif k.tag not in ("head", "title", "meta", "link"):
-                out.append(_inline(k).strip() if k.tag != "img" else f"![{k.get('alt')}]({k.get('src')})")
-
-    walk(node, 0)
+    stack: list[Node | str] = list(reversed(node.kids))
+    while stack:
+        k = stack.pop()
+        if isinstance(k, str):
+            out.append(" ".join(k.split()))
+        elif BLOCK_CHROME(k) or consent(k) or k.tag == "template" or _HEAD(k):
+            continue
+        elif k.tag in HEADINGS:
+            out.append("#" * int(k.tag[1]) + " " + _inline(k).strip())
+        elif k.tag == "pre":
+            out.append(f"```{_language(k) or ''}\n" + "".join(k.strings()).strip("\n") + "\n```")
+        elif _LISTS(k):
+            out.append(_list(k))
+        elif k.tag == "blockquote":
+            out.append("\n".join("> " + line for line in _inline(k).strip().splitlines()))
+        elif k.tag == "table":
+            out.append(_table(k))
+        elif k.tag == "hr":
+            out.append("---")
+        elif k.tag == "img":
+            out.append(f"![{k.get('alt')}]({k.get('src')})")
+        elif _BOXES(k):
+            stack += reversed(k.kids)
+        else:
+            out.append(_closed(k, _inline(k)).strip())
     text = "\n\n".join(x for x in out if x.strip())
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)[ \t]+$", "", text)).strip()
 
 
-def article(html: str | None, url: str | None) -> dict:
-    """Everything that is read off one page."""
+def sound(value: object) -> object:
+    """The value with what can't be written as UTF-8 replaced."""
+    if isinstance(value, str):
+        return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    if isinstance(value, dict):
+        return {k: sound(v) for k, v in value.items()}
+    return [sound(v) for v in value] if isinstance(value, list) else value
+
+
+#: What each part of the work gives, so that a query pays for what it asks.
+PARTS: dict[str, Callable[[Node, str, tuple], dict]] = {
+    "metadata": lambda root, url, main: metadata(root, url),
+    "signals": lambda root, url, main: signals(root) | {"needs_js": needs_js(root)},
+    "score": lambda root, url, main: {"content_score": content_score(root)},
+    "markdown": lambda root, url, main: {"content_markdown": markdown(main[0])},
+    "text": lambda root, url, main: {"content_text": main[0].text(lambda n: BLOCK_CHROME(n) or consent(n)), "word_count": main[2], "extraction_method_used": main[1]},
+    "blocks": lambda root, url, main: {"content_blocks": blocks(main[0], url)},
+    "images": lambda root, url, main: {"images": images(main[0], url)},
+    "links": lambda root, url, main: {"links": links(root, url)},
+}
+_OF_MAIN = frozenset("markdown text blocks images".split())
+
+
+def article(html: str | None, url: str | None, parts: frozenset[str] | None = None) -> dict:
+    """Everything that is read off one page, or the named parts of it.
+
+    No input raises: a field that can't be read is left out, and what isn't
+    valid Unicode is replaced. Images of the head that the content doesn't have
+    come before its own, the last named first.
+    """
     url = url or ""
     bare = re.sub(r"(?is)<template\b[^>]*>.*?</template>", "", html or "")
     root = parse(bare)
-    node, method, words = main_content(root)
-    clean = lambda n: BLOCK_CHROME(n) or consent(n)
-    return {
-        **metadata(root, url), **signals(root), "content_score": content_score(root), "content_markdown": markdown(node), "content_text": node.text(clean), "content_blocks": blocks(node, url),
-        "images": images(node, url), "links": links(root, url), "word_count": words, "extraction_method_used": method,
-    }
+    wanted = PARTS.keys() if parts is None else parts
+    main = main_content(root) if _OF_MAIN & set(wanted) else (root, None, 0)
+    found: dict = {}
+    for name in wanted:
+        found |= PARTS[name](root, url, main)
+    meta = found.pop("meta_images", [])
+    if "images" in found and meta:
+        known = {x["url"] for x in found["images"]}
+        found["images"] = [x for x in reversed(meta) if x["url"] not in known] + found["images"]
+    return sound(found) if "\\u" in bare else found

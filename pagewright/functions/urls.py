@@ -13,12 +13,15 @@ ARTICLE_WORDS = sorted("p write writing learn news story stories entry entries".
 _WHOLE = "archive archives feed login logout privacy register rss search signin signup terms"
 EXCLUDED = "|".join([r"/(tags?|category|categories|cdn-cgi)/", rf"/({'|'.join(_WHOLE.split())})([?]|$|/)", "/(sitemap|__webpack)", "/_next/static/", "/wp-content/uploads/", "/page/[0-9]+"])
 
+#: Paths of machinery, which lead to no article.
+TECHNICAL = "|".join(["/_next/static/", "/__webpack", "/(cdn-cgi|wp-(admin|json|content/uploads))/", r"/xmlrpc[.]php", r"[.]amp([?]|$)"])
+
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#[\s\S]*)?$"
 
 
 def part(url: Column, number: int) -> Column:
     """1 scheme, 2 authority, 3 path, 4 query, as RFC 3986 cuts an address; '' where there is none."""
-    return F.regexp_extract(F.trim(url), _PARTS, number)
+    return F.regexp_extract(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), _PARTS, number)
 
 
 def domain(url: Column) -> Column:
@@ -91,5 +94,5 @@ def crawlable(url: Column, domains: list[str], subdomains: bool = False, exclude
     if subdomains:
         for d in domains:
             inside = inside | host.endswith("." + d.lower())
-    fine = F.lower(part(url, 1)).isin("http", "https") & inside & ~is_file(url)
+    fine = F.lower(part(url, 1)).isin("http", "https") & inside & ~is_file(url) & ~F.lower(part(url, 3)).rlike(TECHNICAL)
     return fine & ~url.rlike(exclude) if exclude else fine

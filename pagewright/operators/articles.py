@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,20 +36,35 @@ def validate(articles: DataFrame, url: str = "url", text: str = "content_text")
 
 
 def unique_slugs(articles: DataFrame, slug: str = "slug", order: str = "seq") -> DataFrame:
-    """``slug`` made unique: later rows of a slug get -2, -3 and so on, past any number that is taken."""
-    out = articles.withColumn("_base", F.col(slug))
-    n = F.row_number().over(W.partitionBy("_base").orderBy(order))
-    out = out.withColumn("_n", n).withColumn(slug, F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", "_n")))
-    while True:
-        # a number that another row's own slug already has: the row moves on, its own keeps the name
-        rank = F.row_number().over(W.partitionBy(slug).orderBy(F.col("_n") > 1, order))
-        clash = out.withColumn("_clash", rank > 1)
-        if not clash.where("_clash").limit(1).count():
-            return out.drop("_base", "_n")
-        top = F.max("_n").over(W.partitionBy("_base"))
-        later = F.sum(F.col("_clash").cast("int")).over(W.partitionBy("_base").orderBy(order))
-        out = clash.withColumn("_n", F.when(F.col("_clash"), top + later).otherwise(F.col("_n")))
-        out = out.withColumn(slug, F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", "_n"))).drop("_clash")
+    """``slug`` made unique in arrival order: the first of -2, -3 and so on that no earlier row has is added to one that is taken.
+
+    Only slugs of one family (equal but for numbers at the end) can meet, so a
+    family is a group. Slugs of one row, nearly all, are settled by a count; the
+    others' families are numbered on slim rows of slug and order alone.
+    """
+    family = F.regexp_replace(F.col(slug), r"(-[0-9]+)+$", "")
+    slim = articles.select(family.alias("family"), F.col(slug).alias("name"), F.col(order).cast("long").alias("at"))
+    again = slim.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select(F.regexp_replace("name", r"(-[0-9]+)+$", "").alias("family")).distinct()
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, taken, following = None, set(), {}
+        for batch in batches:
+            out = []
+            for f, name in zip(batch.column("family").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                if f != last:
+                    last, taken, following = f, set(), {}
+                new, n = name, following.get(name, 2)
+                while new in taken:
+                    new, n = f"{name}-{n}", n + 1
+                following[name] = n
+                taken.add(new)
+                out.append(new)
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("at"), pa.array(out, pa.string())], ["_name", "_at", "_new"])
+
+    rows = slim.join(again, "family", "left_semi").repartition("family").sortWithinPartitions("family", "at").select("family", "name", "at")
+    named = rows.mapInArrow(number, "_name string, _at long, _new string").where("_name <> _new")
+    joined = articles.join(named, (F.col(slug) == F.col("_name")) & (F.col(order).cast("long") == F.col("_at")), "left")
+    return joined.withColumn(slug, F.coalesce("_new", slug)).drop("_name", "_at", "_new")
 
 
 def index(articles: DataFrame, order: str = "seq") -> DataFrame:

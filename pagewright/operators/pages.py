@@ -13,30 +13,34 @@ from pyspark.sql.types import StructType
 from pagewright.functions import dom, texts, urls
 
 FACTS = """title string, author string, published_at string, updated_at string, site_name string, summary string, language string, tags array<string>, canonical_url string,
-body_word_count int, is_js_spa boolean, is_cookie_walled boolean, is_paywalled boolean, js_root_found boolean, frameworks_detected array<string>, has_meta_title boolean, has_article_schema boolean,
-amp_url string, feed_url string, content_score int, content_markdown string, content_text string,
+body_word_count int, is_js_spa boolean, is_cookie_walled boolean, is_paywalled boolean, js_root_found boolean, frameworks_detected array<string>, needs_js boolean, has_meta_title boolean, has_article_schema boolean,
+amp_url string, next_url string, feed_url string, content_score int, content_markdown string, content_text string,
 content_blocks array<struct<type: string, level: int, text: string, url: string, alt: string, caption: string, language: string, ordered: boolean, items: array<string>, rows: array<array<string>>>>,
 images array<struct<url: string, alt: string, caption: string>>, links array<struct<href: string, text: string, rel: string, is_internal: boolean>>, word_count int, extraction_method_used string"""
 #: Pages that a worker turns into Arrow rows at once.
 ROWS = 64
 
 
-def facts(pages: DataFrame) -> DataFrame:
-    """The columns of ``pages`` but ``html`` and names that clash, and all of ``FACTS``; null HTML is an empty page."""
+def facts(pages: DataFrame, *parts: str) -> DataFrame:
+    """The columns of ``pages`` but ``html`` and names that clash, and all of ``FACTS``, or those of the named ``dom.PARTS`` with nulls for the rest.
+
+    Null HTML is an empty page.
+    """
     found = StructType.fromDDL(FACTS)
-    kept = [c for c in pages.columns if c != "html" and c not in found.fieldNames()]
-    arrow = to_arrow_schema(found)
+    kept = [c for c in pages.columns if c.lower() != "html" and c.lower() not in found.fieldNames()]
+    html, url = (free(x, pages.columns) for x in ("_html", "_url"))
+    arrow, wanted = to_arrow_schema(found), frozenset(parts) or None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                rows = [dom.article(h, u) for h, u in zip(part.column("_html").to_pylist(), part.column("_url").to_pylist(), strict=True)]
+                rows = [dom.article(h, u, wanted) for h, u in zip(part.column(html).to_pylist(), part.column(url).to_pylist(), strict=True)]
                 read = pa.RecordBatch.from_pylist(rows, schema=arrow)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *read.columns], [*kept, *read.schema.names])
 
     out = StructType([pages.schema[c] for c in kept] + found.fields)
-    return pages.select(*kept, F.col("html").alias("_html"), F.col("url").alias("_url")).mapInArrow(run, out)
+    return pages.select(*kept, F.col("html").alias(html), F.col("url").alias(url)).mapInArrow(run, out)
 
 
 def classification() -> Column:
@@ -55,18 +59,32 @@ def classification() -> Column:
     )
 
 
+#: What ``extract`` adds to the facts.
+ADDED = "page_type strategy confidence reading_time_minutes article_score norm_url slug markdown_document".split()
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Articles of ``pages`` (url, html and any other columns), one a row, with the page's class and score.
 
     A null or empty page gives empty text, no blocks and the dom_heuristic
-    method; repeated pages come out repeated.
+    method; repeated pages come out repeated. A column of ``pages`` that is
+    called like one of the results is replaced by it.
     """
-    read = facts(pages).withColumn("_class", classification())
+    rows = pages.drop(*[c for c in pages.columns if c.lower() in ADDED])
+    kind = free("_class", rows.columns)
+    read = facts(rows).withColumn(kind, classification())
     return read.select(
-        "*", "_class.*", texts.reading_time(F.col("word_count")).alias("reading_time_minutes"), (urls.url_score(F.col("url")) + F.col("content_score")).alias("article_score"),
+        "*", f"{kind}.*", texts.reading_time(F.col("word_count")).alias("reading_time_minutes"), (urls.url_score(F.col("url")) + F.col("content_score")).alias("article_score"),
         urls.normalize_url(F.col("url")).alias("norm_url"), urls.slug(F.col("url")).alias("slug"),
         texts.markdown_document(F.col("title"), F.col("author"), F.col("published_at"), F.col("tags"), F.col("summary"), F.col("content_markdown")).alias("markdown_document"),
-    ).drop("_class")
+    ).drop(kind)
+
+
+def free(name: str, columns: list[str]) -> str:
+    """The name, with underscores until no column is called so."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def accepted(articles: DataFrame, least: int = 35, include: str | None = None) -> tuple[DataFrame, DataFrame]:

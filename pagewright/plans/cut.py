@@ -22,13 +22,30 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a checkpoint; Spark drops its files with the DataFrame."""
+    """The same rows, read back from a checkpoint.
+
+    Its files go with the DataFrame where the session has
+    spark.cleaner.referenceTracking.cleanCheckpoints, else with the folder.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet in the shared folder and read back: smaller than a checkpoint for wide rows."""
+    """The same rows, written as Parquet in the shared folder and read back: smaller than a checkpoint for wide rows.
+
+    The table stays until ``release`` or until the folder is cleared.
+    """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    back._pagewright_path = path
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table of ``stored``, once nothing reads it any more; other DataFrames are left alone."""
+    path = getattr(df, "_pagewright_path", None)
+    if path:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

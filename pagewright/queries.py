@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import texts, urls
-from pagewright.operators import articles, pages
+from pagewright.operators import articles, fetching, pages
 from pagewright.plans import crawl
 from pagewright.plans.cut import cut
+from pagewright.sources import sinks
 
-
+#: Domains of the query of discovered links.
+HOSTS = ["example.com", "example.net", "example.org"]
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -60,28 +62,22 @@ def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.extract(_pages(spark, sf_dir)).select("page_id", "page_type", "strategy", "confidence", "body_word_count", "is_js_spa", "is_cookie_walled", "is_paywalled")
+    read = pages.facts(_pages(spark, sf_dir), "signals")
+    own = ["body_word_count", "is_js_spa", "is_cookie_walled", "is_paywalled", "needs_js"]
+    return read.select("page_id", pages.classification().alias("x"), *own).select("page_id", "x.*", *own)
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.extract(_pages(spark, sf_dir)).select("page_id", F.posexplode("links").alias("pos", "link")).select("page_id", "pos", "link.*")
+    return pages.facts(_pages(spark, sf_dir), "links").select("page_id", F.posexplode("links").alias("pos", "link")).select("page_id", "pos", "link.*")
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.extract(_pages(spark, sf_dir)).select("page_id", F.posexplode("content_blocks").alias("pos", "block")).select("page_id", "pos", "block.type", "block.level", "block.text")
-
-
-def crawl_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations and regions as a graph (customer's nation to region and back), walked from nation 0 for 3 steps."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    out = n.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
-    edges = out.unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return crawl.depths(edges, ["n0"], 3)
+    return pages.facts(_pages(spark, sf_dir), "blocks").select("page_id", F.posexplode("content_blocks").alias("pos", "block")).select("page_id", "pos", "block.type", "block.level", "block.text")
 
 
 def page_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links of all pages, walked for 10 steps from the pages that no other page links to."""
-    found = pages.extract(_pages(spark, sf_dir)).select("url", F.explode_outer("links.href").alias("href"))
+    found = pages.facts(_pages(spark, sf_dir), "links").select("url", F.explode_outer("links.href").alias("href"))
     # HTML is read once, not at every step; a page without links keeps a row
     edges = cut(found.select(urls.normalize_url(F.col("url")).alias("src"), urls.normalize_url(F.col("href")).alias("dst")).distinct())
     linked = edges.where("src <> dst").select(F.col("dst").alias("src")).distinct()
@@ -89,8 +85,59 @@ def page_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.depths(edges, start)
 
 
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.facts(_pages(spark, sf_dir), "metadata").select("page_id", "title", "author", "language", "site_name", "published_at")
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as answers of a server that lacks every tenth and gives another type for every seventh."""
+    status, kind = F.when(F.col("page_id") % 10 == 0, 404).otherwise(200), F.when(F.col("page_id") % 7 == 0, "application/pdf").otherwise("text/html; charset=utf-8")
+    return _pages(spark, sf_dir).select("page_id", "url", status.alias("status"), kind.alias("content_type"), "html")
+
+
+def fetch_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' addresses and as many that nobody answers for, as a batch that keeps errors."""
+    got = _responses(spark, sf_dir)
+    asked = got.select(F.col("page_id").alias("idx"), "url").unionByName(got.select((-F.col("page_id") - 1).alias("idx"), F.concat("url", F.lit("/none")).alias("url")))
+    return fetching.fetch_batch(asked, got, "include").select("idx", "error", "title", "language")
+
+
+def response_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _responses(spark, sf_dir).select("page_id", fetching.response_guard().alias("reason"))
+
+
+def adaptive_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages without their article as the static version, and the whole page as the rendered one."""
+    whole = _pages(spark, sf_dir)
+    thin = whole.withColumn("html", F.regexp_replace("html", "(?s)<article>.*</article>", ""))
+    return fetching.adaptive(thin, whole.select("url", F.lit("rendered").alias("kind"), "html")).select("page_id", "strategy_used", "page_type", (F.length("html") > 0).alias("has_html"))
+
+
+def discovered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a crawl of all pages would go to next, on hosts of three domains."""
+    read = cut(pages.facts(_pages(spark, sf_dir), "links", "signals").select("url", F.col("page_id").alias("seq"), "next_url", "links"))
+    seen = read.select(urls.normalize_url(F.col("url")).alias("norm_url")).distinct()
+    return crawl.discover(read, seen, HOSTS, subdomains=True).select("norm_url", "priority")
+
+
+def article_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV index of all documents, as articles of their sources."""
+    words, null = texts.word_count(F.col("text")), F.lit(None).cast("string")
+    rows = _documents(spark, sf_dir).select(
+        F.col("doc_id").alias("seq"), F.concat(F.lit("d-"), "doc_id").alias("slug"), F.concat(F.lit("https://example.com/"), "doc_id").alias("url"), F.lit("").alias("title"), null.alias("author"), null.alias("published_at"), null.alias("summary"),
+        F.array(F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))).alias("tags"), words.alias("word_count"), texts.reading_time(words).alias("reading_time_minutes"), F.lit("table").alias("extraction_method_used"),
+    )
+    return sinks.csv_index(rows)
+
+
+def unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents named by source and language, made unique in order."""
+    docs = _documents(spark, sf_dir).select("doc_id", F.concat_ws("-", "source", "lang").alias("slug"))
+    return articles.unique_slugs(docs, order="doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (normalize_url, url_slug, url_score, raw_words, content_dedup, validation, reading_report, extract, classify, page_links, page_blocks, crawl_depths, page_depths)
+    f.__name__: f for f in (normalize_url, url_slug, url_score, raw_words, content_dedup, validation, reading_report, extract, classify, page_links, page_blocks, page_metadata, page_depths, fetch_batch, response_guard, adaptive_fetch, discovered_links, article_index, unique_slugs)
 }
 
 _PART = r"'^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$'"
@@ -128,8 +175,50 @@ select 'total' as section, 'articles' as name, count(*)::bigint as value from g
 union all select 'total', 'minutes', coalesce(sum(m), 0)::bigint from g union all select 'total', 'average words', (sum(w) // count(*))::bigint from g having count(*) > 0
 union all select 'method', lang, count(*) from g group by lang
 union all select 'skipped', 'content too short (<10 words)', count(*) from d where w < 10 having count(*) > 0""",
-    "crawl_depths": """
-with recursive e as (select 'n' || n_nationkey as src, 'r' || n_regionkey as dst from nation union select 'r' || n_regionkey, 'n' || n_nationkey from nation),
-w as (select 'n0' as node, 0 as depth union select dst, depth + 1 from w join e on node = src where depth < 3)
+}
+
+_NORM = f"(select page_id, html, url, norm_url from pages join ({ORACLE_SQL['normalize_url']}) using (page_id))"
+_ORIGIN = "regexp_extract(trim(url), '^([A-Za-z]+://[^/?#]*)', 1)"
+_PLAIN = lambda x: f"trim(regexp_replace(replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_BODY = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*<body>', ''), '(?s)<nav>.*?</nav>|<!--.*?-->', ' ', 'g'), '(?s)<footer>.*$', ' ')"
+_TAGLESS = lambda x: f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+ORACLE_SQL |= {
+    "page_links": f"""
+with a as (select page_id, {_ORIGIN} as origin, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) as hs, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) as ts from pages),
+b as (select page_id, i, origin || hs[i] as href, {_PLAIN('ts[i]')} as text from (select *, unnest(range(1, len(hs) + 1)) as i from a)),
+c as (select *, min(i) over (partition by page_id, href) as f from b)
+select page_id, (row_number() over (partition by page_id order by i) - 1)::int as pos, href, text, null::varchar as rel, true as is_internal from c where i = f""",
+    "page_blocks": f"""
+with a as (select page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as x from pages),
+b as (select page_id, regexp_extract(x, '(?s)<h1>(.*?)</h1>', 1) as h, list_filter(string_split(regexp_replace(x, '(?s)^.*?</h1>', ''), '<p>'), lambda y: trim({_TAGLESS('y')}) <> '') as ps from a),
+c as (select page_id, 0 as pos, 'heading' as type, 1 as level, h as t from b union all select page_id, i, 'paragraph', null, ps[i] from (select *, unnest(range(1, len(ps) + 1)) as i from b))
+select page_id, pos::int as pos, type, level::int as level, {_PLAIN(_TAGLESS('t'))} as text from c""",
+    "page_metadata": f"""
+select page_id, {_PLAIN("regexp_extract(html, '<title>([^<]*)</title>', 1)")} as title, null::varchar as author, regexp_extract(html, '<html lang="([^"]*)"', 1) as language,
+  replace(regexp_extract(trim(url), '^[A-Za-z]+://([^/?#]*)', 1), 'www.', '') as site_name, null::varchar as published_at from pages""",
+    "classify": f"""
+with a as (select page_id, len(list_filter(regexp_split_to_array({_PLAIN(_TAGLESS(_BODY))}, ' '), lambda w: w <> '')) as w from pages)
+select page_id, case when w >= 150 then 'static_html' else 'unknown' end as page_type, case when w >= 150 then 'static' else 'mobile_ua' end as strategy, case when w >= 150 then 0.9 else 0.5 end::double as confidence,
+  w::int as body_word_count, false as is_js_spa, false as is_cookie_walled, false as is_paywalled, false as needs_js from a""",
+    "page_depths": f"""
+with recursive n as {_NORM},
+e as (select distinct norm_url as src, regexp_extract(norm_url, '^(https?://[^/?#]*)', 1) || h as dst from (select norm_url, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) as h from n)),
+w as (select norm_url as node, 0 as depth from n where norm_url not in (select dst from e where src <> dst) union select dst, depth + 1 from w join e on node = src where depth < 10)
 select node, min(depth)::int as depth from w group by node""",
+    "discovered_links": f"""
+with n as {_NORM},
+e as (select distinct regexp_extract(norm_url, '^(https?://[^/?#]*)', 1) || h as dst from (select norm_url, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) as h from n))
+select dst as norm_url, 0 as priority from e where regexp_matches(dst, '^https?://([^/]*[.])?example[.](com|net|org)/') and dst not in (select norm_url from n) and regexp_extract(lower(dst), '\.([^./]*)$', 1) not in ({_LIST(urls.FILES)})""",
+    "fetch_batch": f"""
+with r as (select page_id, url, html, case when page_id % 10 = 0 then 'http_status_404' when page_id % 7 = 0 then 'not_html' end as error from pages)
+select page_id as idx, error, case when error is null then {_PLAIN("regexp_extract(html, '<title>([^<]*)</title>', 1)")} end as title, case when error is null then regexp_extract(html, '<html lang="([^"]*)"', 1) end as language from r
+union all select -page_id - 1, 'no response', null, null from r""",
+    "response_guard": "select page_id, case when page_id % 10 = 0 then 'http_status_404' when page_id % 7 = 0 then 'not_html' end as reason from pages",
+    "article_index": f"""
+with d as (select *, coalesce({_WORDS}, 0) as w from documents)
+select 'd-' || doc_id as slug, 'https://example.com/' || doc_id as url, '' as title, null::varchar as author, null::varchar as published_at, null::varchar as summary,
+  '[' || chr(39) || coalesce(lang, '') || chr(39) || ', ' || chr(39) || coalesce(source, '') || chr(39) || ']' as tags, w::int as word_count, greatest(1, ceil(w / 200))::int as reading_time_minutes, 'table' as extraction_method_used from d""",
+    "unique_slugs": """
+with d as (select doc_id, concat_ws('-', source, lang) as s, row_number() over (partition by concat_ws('-', source, lang) order by doc_id) as n from documents)
+select doc_id, case when n = 1 then s else s || '-' || n end as slug from d""",
 }

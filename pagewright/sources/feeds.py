@@ -13,8 +13,10 @@ _DC = "{http://purl.org/dc/elements/1.1/}"
 _SITEMAP = "{http://www.sitemaps.org/schemas/sitemap/0.9}"
 
 
-def _text(e: ElementTree.Element | None) -> str | None:
-    return ((e.text or "").strip() or None) if e is not None else None
+def _said(e: ElementTree.Element | None) -> str | None:
+    """What an element says, or null."""
+    words = "" if e is None or e.text is None else e.text.strip()
+    return words or None
 
 
 def _root(xml: str | None) -> ElementTree.Element | None:
@@ -32,10 +34,10 @@ def entries(xml: str | None, base: str = "") -> list[dict]:
     out = []
     for item in root.iter("item"):
         guid = item.find("guid")
-        mark = _text(guid) if guid is not None and guid.get("isPermaLink", "true").lower() != "false" else None
-        url = _text(item.find("link")) or mark
+        mark = _said(guid) if guid is not None and guid.get("isPermaLink", "true").lower() != "false" else None
+        url = _said(item.find("link")) or mark
         if url:
-            out.append({"url": url, "title": _text(item.find("title")), "author": _text(item.find(f"{_DC}creator")) or _text(item.find("author")), "published_at": _text(item.find("pubDate")) or _text(item.find(f"{_DC}date")), "summary": _text(item.find("description"))})
+            out.append({"url": url, "title": _said(item.find("title")), "author": _said(item.find(f"{_DC}creator")) or _said(item.find("author")), "published_at": _said(item.find("pubDate")) or _said(item.find(f"{_DC}date")), "summary": _said(item.find("description"))})
     if out:
         return out
     for entry in root.iter():
@@ -44,9 +46,9 @@ def entries(xml: str | None, base: str = "") -> list[dict]:
         kids: dict[str, list[ElementTree.Element]] = {}
         for k in entry:
             kids.setdefault(k.tag.rpartition("}")[2], []).append(k)
-        one = lambda name: _text(kids[name][0]) if name in kids else None  # noqa: E731, B023
+        one = lambda name: _said(kids[name][0]) if name in kids else None  # noqa: E731, B023
         href = next((k.get("href") for k in kids.get("link", []) if k.get("rel", "alternate") in ("alternate", "") and k.get("href")), None)
-        author = next((_text(k) for a in kids.get("author", []) for k in a if k.tag.rpartition("}")[2] == "name"), None)
+        author = next((_said(k) for a in kids.get("author", []) for k in a if k.tag.rpartition("}")[2] == "name"), None)
         if href:
             out.append({"url": urljoin(base, href), "title": one("title"), "author": author, "published_at": one("published") or one("updated"), "summary": one("summary") or one("content")})
     return out
@@ -58,11 +60,11 @@ def locations(xml: str | None) -> list[dict]:
     if root is None:
         return []
     kind = "sitemap" if root.tag.endswith("sitemapindex") else "page"
-    return [{"url": u, "kind": kind} for e in root.iter(f"{_SITEMAP}loc") if (u := _text(e))]
+    return [{"url": u, "kind": kind} for e in root.iter(f"{_SITEMAP}loc") if (u := _said(e))]
 
 
-def read_feeds(feeds: DataFrame, most: int = 50) -> DataFrame:
-    """The first ``most`` entries of each row (feed_url, xml), with their place ``pos``."""
+def read_feeds(feeds: DataFrame, most: int | None = None) -> DataFrame:
+    """The entries of each row (feed_url, xml), or the first ``most``, with their place ``pos``."""
     names = ["url", "title", "author", "published_at", "summary"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ def page_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Extract, validate and append what is new; content that earlier batches wrote is left out.
+    """Extract, dedup, validate and append what is new; content that earlier batches had is left out.
 
     Every batch is anti-joined with the digests written before it, so state is
     the output itself and a batch that is repeated after a failure writes its
@@ -25,11 +25,11 @@ def ingest(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        good, _ = articles.validate(pages.extract(batch).withColumn("seq", F.col("page_id")))
-        new = articles.dedup(good).withColumn("digest", F.when(F.length(texts.stripped(F.col("content_text"))) >= 100, texts.content_hash(F.col("content_text"))))
+        new = articles.dedup(pages.extract(batch).withColumn("seq", F.col("page_id"))).withColumn("digest", F.when(F.length(texts.stripped(F.col("content_text"))) >= 100, texts.content_hash(F.col("content_text"))))
         if number:
             written = spark.read.schema("digest string, batch long").parquet(out).where(F.col("batch") < number).select("digest").where("digest is not null")
             new = new.join(written, "digest", "left_anti")
+        new, _ = articles.validate(new)
         new.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
