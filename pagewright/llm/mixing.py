@@ -97,8 +97,8 @@ def rates(docs: DataFrame, weights: dict[str | None, float], budget_share: float
     return F.broadcast(docs.sparkSession.createDataFrame([*given.items()], "source string, epochs double"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float], budget_share: float = 1.0, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The rows of documents, each as often as its source's epochs say, with ``copy`` from 0.
+def mix(docs: DataFrame, weights: dict[str | None, float], budget_share: float = 1.0, max_epochs: float = MAX_EPOCHS, seed: int = SEED, number: str = "copy") -> DataFrame:
+    """The rows of documents, each as often as its source's epochs say, with ``copy`` (or what ``number`` says) from 0.
 
     A document of a source with e epochs comes floor(e) times, and once more
     where its number in [0, 1) is under the rest. A null source is a source of
@@ -106,14 +106,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float], budget_share: float =
     repeated like the other documents of their source; repeated rows get the
     same number, as do null ids. A source of no characters at all gives
     nothing. Column names of the table other than the three used are free,
-    except ``copy``, which is replaced.
+    except that of the number, which is replaced. An empty table gives no rows.
     """
     name, epochs, times = (free(x, docs.columns) for x in ("_mix_source", "_mix_epochs", "_mix_times"))
     r = rates(docs, weights, budget_share, max_epochs).select(F.col("source").alias(name), F.col("epochs").alias(epochs))
-    kept = [c for c in docs.columns if c != "copy"]
+    kept = [c for c in docs.columns if c.lower() != number.lower()]
     drawn = F.expr(f"cast(floor({epochs}) as int) + case when {unit(seed)} < {epochs} - floor({epochs}) then 1 else 0 end")
     joined = docs.join(r, F.col("source").eqNullSafe(F.col(name))).withColumn(times, drawn).where(f"{times} > 0")
-    return joined.select(*kept, F.explode(F.expr(f"sequence(0, {times} - 1)")).alias("copy"))
+    return joined.select(*kept, F.explode(F.expr(f"sequence(0, {times} - 1)")).alias(number))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,6 +322,34 @@ def test_language_held_out(spark):
     assert right > 0.9
 
 
+def test_mixing_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "aaaa", "x", 9), (2, "bb", "y", 8), (2, "bb", "y", 8), (3, None, "y", 7), (4, "c" * 50, None, 6), (5, "", "z", 5)], "doc_id long, text string, source string, copy int")
+    got = mixing.mix(docs, {"x": 100.0, "y": 0.0, None: 1.0}, max_epochs=2.0)
+    assert sorted((r.doc_id, r.copy) for r in got.collect()) == [(1, 0), (1, 1), *((4, i) for i in range(1))] and got.columns == ["doc_id", "text", "source", "copy"]
+    assert {r.copy for r in mixing.mix(docs, {}, number="n").select("copy").collect()} <= {9, 8, 7, 6} and mixing.mix(docs.limit(0), {}).count() == 0
+
+
+@pytest.mark.parametrize("weights", [{"s0": 5.0, "s1": 0.5}, {}])
+def test_many_sources_like_few(spark, monkeypatch, weights):
+    docs = spark.createDataFrame([(i, "x" * (1 + i % 37), f"s{i % 11}") for i in range(400)], "doc_id long, text string, source string")
+    few = {r.source: r.epochs for r in mixing.rates(docs, weights, 1.5, 2.0).collect()}
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 3)
+    many = {r.source: r.epochs for r in mixing.rates(docs, weights, 1.5, 2.0).collect()}
+    assert few.keys() == many.keys() and all(abs(few[s] - many[s]) < 1e-9 for s in few)
+
+
+def test_pipeline_of_odd_rows(spark):
+    docs = odd(spark).withColumn("copy", F.lit(5))
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, SF)
+        assert at.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    assert {r["copy"] for r in at.select("copy").collect()} == {5}
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, at, SF).where("not round_trip").count() == 0
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     at = docs
