@@ -187,36 +187,41 @@ def _line(table: pa.Table, least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in (doc, text, first, last, rdoc, rtext, first + shift, low, high, np.repeat(size, size) > 1)], [*names, "low", "high", "several"])
 
 
-def _greedy(own: list[tuple], other: list[tuple], least: int) -> Iterator[tuple[int, int, int, int]]:
+def _greedy(own: list[tuple], other: list[tuple], least: int) -> Iterator[tuple[int, int, tuple, int]]:
     """Factors (start word, end word, reference, place in it) of one region.
 
-    ``own``: its segments (first, last, reference, shift). ``other``: of the
-    references' own segments (reference, shift to it, first, last, their
-    reference, their shift); both say where the same words first occur.
+    ``own``: its segments (first, last, reference, shift); ``other``: of the
+    references' own segments (reference, first, last, their reference, their
+    shift). Both say where words first occur, so that two places match where
+    they say the same; every other window of a reference is its own first one.
     """
-    by_first: dict[tuple, list[tuple[int, int]]] = {}
-    match: dict[tuple, list[tuple[int, int, bool]]] = {}
+    number: dict[tuple, int] = {}
+    name = lambda ref: number.setdefault(ref, len(number)) << 40
+    low, high = min(x[0] for x in own), max(x[1] for x in own)
+    here = np.full(high - low + 1, -1, np.int64)
+    lines: dict[tuple, dict[int, list[tuple[int, int]]]] = {}
     for first, last, ref, shift in own:
-        by_first.setdefault((ref, shift), []).append((first, last))
-        match.setdefault((ref, shift), []).append((first, last, True))
-    for ref, shift, first, last, far, far_shift in other:
-        for a, b in by_first.get((far, far_shift + shift), ()):
-            a, b = max(a, first - shift), min(b, last - shift)
-            if a <= b:
-                match[ref, shift].append((a, b, False))
+        here[first - low : last - low + 1] = name(ref) + np.arange(first + shift, last + shift + 1)
+        lines.setdefault(ref, {}).setdefault(shift, []).append((first, last))
+    theirs: dict[tuple, list[tuple]] = {}
+    for ref, *x in other:
+        theirs.setdefault(ref, []).append(x)
     runs: list[tuple[int, int, tuple, int]] = []
-    for (ref, shift), found in match.items():
-        found.sort()
-        a, b, known = found[0]
-        for c, d, mine in found[1:]:
-            if c <= b + 1:
-                b, known = max(b, d), known or mine
-            else:
-                if known:
-                    runs.append((a, b + least, ref, shift))
-                a, b, known = c, d, mine
-        if known:
-            runs.append((a, b + least, ref, shift))
+    for ref, shifts in lines.items():
+        start, end = low + min(shifts), high + max(shifts)
+        there = np.arange(start, end + 1)
+        there = np.where(there < 0, -2, name(ref) + there)
+        for first, last, far, shift in theirs.get(ref, ()):
+            a, b = max(first, start), min(last, end)
+            if a <= b:
+                there[a - start : b - start + 1] = name(far) + np.arange(a + shift, b + shift + 1)
+        for shift, known in shifts.items():
+            at = low + shift - start
+            apart = np.flatnonzero(here != there[at : at + len(here)])
+            for i in {int(np.searchsorted(apart, first - low)) for first, _ in known}:
+                a = int(apart[i - 1]) + 1 if i else 0
+                b = int(apart[i]) - 1 if i < len(apart) else len(here) - 1
+                runs.append((a + low, b + low + least, ref, shift))
     runs.sort(key=lambda r: r[0])
     at, i, best = runs[0][0], 0, None
     while True:
@@ -263,7 +268,7 @@ def duplicate_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Da
                 if k == 0:
                     own.append((a, b, (rd, rt), shift))
                 else:
-                    other.append(((rd, rt), shift, a, b, (fd, ft), far))
+                    other.append(((rd, rt), a, b, (fd, ft), far))
             out = [(doc, text, start, end, ref[0], place) for (doc, text, _), (own, other) in regions.items() for start, end, ref, place in _greedy(own, other, least)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], ["doc_id", "text_hash", "start_word", "end_word", "ref_doc_id", "ref_start_word"])
@@ -273,10 +278,11 @@ def duplicate_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Da
     one = segments.where("not several").select("doc_id", "text_hash", F.col("first").alias("start_word"), (F.col("last") + least).alias("end_word"), "ref_doc_id", F.col("ref_first").alias("ref_start_word"))
     # matches go on where the reference's own segments say so
     several = segments.where("several").selectExpr("doc_id", "text_hash", "low", "high", "first as a", "last as b", "ref_doc_id as rd", "ref_text_hash as rt", "ref_first - first as shift")
-    lines = several.select("doc_id", "text_hash", "low", "high", "rd", "rt", "shift").distinct()
+    # a reference's segments come once a region, not once a match: periodic texts have very many matches with one reference
+    lines = several.groupBy("doc_id", "text_hash", "low", "high", "rd", "rt").agg((F.col("low") + F.min("shift")).alias("start"), (F.col("high") + F.max("shift")).alias("end"))
     theirs = segments.selectExpr("doc_id as zd", "text_hash as zt", "first as za", "last as zb", "ref_doc_id as fd", "ref_text_hash as ft", "ref_first - first as far_shift")
-    meet = (F.col("rd") == F.col("zd")) & (F.col("rt") == F.col("zt")) & (F.col("zb") >= F.col("low") + F.col("shift")) & (F.col("za") <= F.col("high") + F.col("shift"))
-    far = lines.join(theirs, meet).selectExpr("doc_id", "text_hash", "low", "1 as kind", "za as a", "zb as b", "rd", "rt", "shift", "fd", "ft", "far_shift")
+    meet = (F.col("rd") == F.col("zd")) & (F.col("rt") == F.col("zt")) & (F.col("zb") >= F.col("start")) & (F.col("za") <= F.col("end"))
+    far = lines.join(theirs, meet).selectExpr("doc_id", "text_hash", "low", "1 as kind", "za as a", "zb as b", "rd", "rt", "0L as shift", "fd", "ft", "far_shift")
     own = several.selectExpr("doc_id", "text_hash", "low", "0 as kind", "a", "b", "rd", "rt", "shift", "0L as fd", "0 as ft", "0L as far_shift")
     rows = own.unionByName(far).withColumn("key", F.xxhash64("doc_id", "text_hash", "low"))
     many = rows.repartition("key").sortWithinPartitions("key").mapInArrow(parse, "doc_id long, text_hash int, start_word long, end_word long, ref_doc_id long, ref_start_word long")

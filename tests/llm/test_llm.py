@@ -235,7 +235,7 @@ def test_parse_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(substring, "HOT", hot)
     p, q = prose(21, 100).split(), prose(22, 60).split()
     both = " ".join([*p[40:], *q])
-    texts = [" ".join(p), both, both, prose(5, 49), "", " ".join([*prose(6, 50).split()] * 3)]
+    texts = [" ".join(p), both, both, prose(5, 49), "", " ".join([*prose(6, 50).split()] * 3), "for " * 300, "x y " + "for " * 200 + "z"]
     rng = np.random.default_rng(2)
     pool = [prose(40 + i, 130).split() for i in range(4)]
     for i in range(60):
