@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,15 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
+def tidy() -> None:
+    """Gives free memory back: a worker goes on to other tasks, and what it keeps counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_000) -> Iterator[pa.Table]:
     """Tables of at least ``least`` rows (but the last) in which no group is cut off; rows come sorted by ``key``."""
     held: list[pa.RecordBatch] = []
@@ -47,6 +57,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_00
         rows += batch.num_rows
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = []
+    tidy()
 
 
 def column(table: pa.Table, name: str) -> np.ndarray:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _WORD_BASE = U(0xD6E8FEB86659FD93)

@@ -34,7 +34,9 @@ from pagewright.plans.cut import cut, stored
 #: Words of the shortest duplicate span, and of the runs that are hashed for anchors.
 LEAST, GRAM = 50, 15
 #: Passages of one anchor up to which a task takes them together.
-HOT = 10_000
+HOT = 5_000
+#: Rows that a task looks at together, if groups are small; bounds a worker's memory.
+ROWS = 5_000
 PIECE = "doc_id long, text_hash int, first long, last long, ref_doc_id long, ref_text_hash int, ref_first long"
 
 
@@ -135,7 +137,7 @@ def _occurrences(docs: DataFrame, least: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(n, pa.int64())], ["hot", "n"])
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "anchor", 20_000):
+        for table in whole_groups(batches, "anchor", ROWS):
             found = _lookup(table)
             if found is not None:
                 yield found
@@ -255,11 +257,11 @@ def duplicate_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Da
     """
 
     def line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "key", 20_000):
+        for table in whole_groups(batches, "key", ROWS):
             yield _line(table, least)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "key", 20_000):
+        for table in whole_groups(batches, "key", ROWS):
             kind = column(table, "kind")
             v = [column(table, c).tolist() for c in ("doc_id", "text_hash", "low", "a", "b", "rd", "rt", "shift", "fd", "ft", "far_shift")]
             regions: dict[tuple, tuple[list, list]] = {}
