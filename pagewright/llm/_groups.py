@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm._text import tidy
 from pagewright.plans.cut import cut
 
 #: Rows of two or three numbers up to which a table is broadcast (some 30 MB); a longer one is joined by shuffle.
@@ -24,15 +24,6 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
-def tidy() -> None:
-    """Gives free memory back: a worker goes on to other tasks, and what it keeps counts against its executor."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not every C library has it
-        pass
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_000) -> Iterator[pa.Table]:
     """Tables of at least ``least`` rows (but the last) in which no group is cut off; rows come sorted by ``key``."""
     held: list[pa.RecordBatch] = []

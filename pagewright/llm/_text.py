@@ -9,6 +9,7 @@ batch size; a single longer text is a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +23,15 @@ _BASE = U(0x9E3779B97F4A7C15)
 _WORD_BASE = U(0xD6E8FEB86659FD93)
 
 
+def tidy() -> None:
+    """Gives free memory back: a worker goes on to other tasks, and what it keeps counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut a batch where the running length of ``column`` passes ``most``."""
     if batch.num_rows == 0:
@@ -31,6 +41,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_CHARS) -> Itera
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [batch.num_rows]]), strict=True):
         yield batch.slice(int(a), int(b - a))
+    tidy()
 
 
 @lru_cache(maxsize=1)
