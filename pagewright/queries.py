@@ -208,7 +208,7 @@ select node, min(depth)::int as depth from w group by node""",
     "discovered_links": f"""
 with n as {_NORM},
 e as (select distinct regexp_extract(norm_url, '^(https?://[^/?#]*)', 1) || h as dst from (select norm_url, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) as h from n))
-select dst as norm_url, 0 as priority from e where regexp_matches(dst, '^https?://([^/]*[.])?example[.](com|net|org)/') and dst not in (select norm_url from n) and regexp_extract(lower(dst), '\.([^./]*)$', 1) not in ({_LIST(urls.FILES)})""",
+select dst as norm_url, 0 as priority from e where regexp_matches(dst, '^https?://([^/]*[.])?example[.](com|net|org)/') and dst not in (select norm_url from n) and regexp_extract(lower(dst), '[.]([^./]*)$', 1) not in ({_LIST(urls.FILES)})""",
     "fetch_batch": f"""
 with r as (select page_id, url, html, case when page_id % 10 = 0 then 'http_status_404' when page_id % 7 = 0 then 'not_html' end as error from pages)
 select page_id as idx, error, case when error is null then {_PLAIN("regexp_extract(html, '<title>([^<]*)</title>', 1)")} end as title, case when error is null then regexp_extract(html, '<html lang="([^"]*)"', 1) end as language from r
