@@ -148,6 +148,69 @@ def test_recall_of_signatures_by_size():
         assert np.mean([bool(sets[2 * i] & sets[2 * i + 1]) for i in range(many)]) >= (0.98 if n < 60 else 1), n
 
 
+def test_sets_of_every_size_share_a_signature():
+    """All pairs right at the threshold, not most: one set within the other, or both with n-grams of their own."""
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 41), 90, 250]:
+        for own in {0, int(n * 0.15)}:
+            c = int(np.ceil(0.7 * (n + own) - 1e-9))
+            values, offsets = [], [0]
+            for _ in range(300):
+                a = rng.integers(0, 1 << 63, n + own).astype(t.U)
+                for x in (a[:n], np.concatenate([a[:c], a[n:]])):
+                    values.append(np.sort(x))
+                    offsets.append(offsets[-1] + len(x))
+            owner, found = ngramjoin.signatures(np.concatenate(values), np.array(offsets), 0.7)
+            sets = [set() for _ in range(600)]
+            for o, s in zip(owner.tolist(), found.tolist(), strict=True):
+                sets[o].add(s)
+            assert all(sets[2 * i] & sets[2 * i + 1] for i in range(300)), (n, own)
+
+
+def test_every_pair_of_eleven_grams(spark):
+    rows = []
+    for i in range(1500):
+        words = [f"p{i}x{j}" for j in range(12)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:9] if i % 3 else words[3:]))]
+    assert ngramjoin.classes(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links = 1").count() == 3000
+
+
+def test_crowds_hang_together_as_their_pairs_do():
+    rng = np.random.default_rng(6)
+    sets = []
+    for k in range(12):
+        base = rng.integers(0, 1 << 63, 5 + 60 * k).astype(t.U)
+        for _ in range(8):
+            kept = rng.random(len(base)) < rng.choice([0.8, 0.95])
+            sets.append(np.concatenate([base[:1], base[1:][kept[1:]], rng.integers(0, 1 << 63, rng.integers(1, 2 + len(base) // 10)).astype(t.U)]))
+    order = rng.permutation(len(sets))
+    sets = [sets[i] for i in order]
+    size = np.array([len(x) for x in sets])
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    data, start = ngramjoin.sketches(np.concatenate(sets), offsets)
+    width = np.minimum(ngramjoin._width(size), ngramjoin.CROWD_WIDTH)
+    rows = np.zeros((len(sets), ngramjoin.CROWD_WIDTH), t.U)
+    for i, w in enumerate(width):
+        rows[i, :w] = ngramjoin._at_width(data.view(t.U), start[i : i + 1] // 8, np.diff(start)[i : i + 1] // 8, w)[0]
+    root = ngramjoin._crowd_roots(size, np.zeros(len(sets), int), rows.reshape(-1), np.arange(len(sets)) * ngramjoin.CROWD_WIDTH, 0.7)
+    alike = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.7 * (size[i] + size[j] - both) - 1e-9:
+                alike += 1
+                assert root[i] == root[j]
+    assert alike > 100 and len(np.unique(root)) >= 11
+
+
+def test_unlike_texts_of_common_words_are_not_compared(spark):
+    """What they have in common grows with their number; sets that only share common n-grams used to hang together."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"s{rng.integers(25)}" if rng.random() < 0.6 else f"u{rng.integers(100000)}" for _ in range(60))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ngramjoin._blocks(docs, ngramjoin._named(docs, 2), 2, 0.7).count() == 0
+
+
 def test_near_vectors_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 64))
