@@ -214,7 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, seed: int =
     small = F.broadcast(docs.sparkSession.createDataFrame(ids, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int"))  # at most ``most`` rows
     rows = docs.select("doc_id", "text").where("text is not null").join(small, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows], seed)
+    model = train([r["text"] for r in rows], [r["toxic"] for r in rows], seed)
+    t.tidy()  # the driver goes on to other stages
+    return model
 
 
 def score_batch(texts: pa.Array, model: Model) -> np.ndarray:

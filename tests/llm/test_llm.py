@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagewright.llm import _text as t
-from pagewright.llm import bpe, chattree, langid, mixing, neardup, ngramjoin, queries, substring, topk, toxicity, urlfilter
+from pagewright.llm import _groups, bpe, chattree, langid, mixing, neardup, ngramjoin, queries, substring, topk, toxicity, urlfilter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _goes int, chunk string"
@@ -211,6 +211,24 @@ def test_unlike_texts_of_common_words_are_not_compared(spark):
     assert ngramjoin._blocks(docs, ngramjoin._named(docs, 2), 2, 0.7).count() == 0
 
 
+def test_components_take_few_jobs(spark, monkeypatch):
+    """In one task or in rounds, the same roots; the rounds' many jobs used to fill the driver's memory."""
+    rng = np.random.default_rng(9)
+    chain = rng.permutation(60)
+    rows = [*zip(chain[:-1].tolist(), chain[1:].tolist(), strict=True), (-5, 1000), (1000, 2000), (2000, 2000), (3000, None), (7000, 6000)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    want = {i: 0 for i in range(60)} | {-5: -5, 1000: -5, 2000: -5, 6000: 6000, 7000: 6000}
+    jobs = []
+    for most in (500_000, 20):
+        monkeypatch.setattr(_groups, "ONE_TASK", most)
+        spark.sparkContext.setJobGroup(f"components {most}", "")
+        assert {r.id: r.root for r in _groups.components(edges).collect()} == want
+        assert _groups.components(edges.where("a = b")).count() == 0
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {most}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] < jobs[1] / 2, jobs
+
+
 def test_near_vectors_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 64))
