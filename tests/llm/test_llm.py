@@ -1,5 +1,8 @@
 """The training-data operators: SQL agreement, brute force, and odd rows."""
 
+import re
+import time
+
 import compare
 import numpy as np
 import pyarrow as pa
@@ -229,6 +232,34 @@ def test_components_take_few_jobs(spark, monkeypatch):
     assert jobs[0] < jobs[1] / 2, jobs
 
 
+def test_signatures_shuffled_go_before_sets_are_linked(spark, monkeypatch):
+    """Their files are larger than the documents; they used to stay until the driver collected its garbage."""
+
+    def files():
+        return set(re.findall(r"shuffle_(\d+)_", str(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" "))))
+
+    signatures, left, links, stored = [], [], ngramjoin._links, ngramjoin.stored
+
+    def keep(df):
+        table = stored(df)
+        signatures.append(max(files(), key=int, default=None))
+        return table
+
+    def late(*given):
+        for _ in range(50):
+            left.append(signatures[-1] in files())
+            if not left[-1]:
+                break
+            time.sleep(0.1)
+        return links(*given)
+
+    monkeypatch.setattr(ngramjoin, "stored", keep)
+    monkeypatch.setattr(ngramjoin, "_links", late)
+    rows = edited(200, lambda i: 60, 0.02, np.random.default_rng(5))
+    assert ngramjoin.classes(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    assert left and not left[-1]
+
+
 def test_near_vectors_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 64))
