@@ -206,6 +206,51 @@ def test_crowds_hang_together_as_their_pairs_do():
     assert alike > 100 and len(np.unique(root)) >= 11
 
 
+def test_long_sets_of_a_crowd_are_told_apart(spark):
+    """Sketches of 512 bits used to link all sets of 800 n-grams that share a common one, into components whose blocks are copied for each other."""
+    rng = np.random.default_rng(21)
+    sets = [np.concatenate([np.array([7], t.U), rng.integers(0, 1 << 63, n).astype(t.U)]) for n in rng.integers(800, 1000, 60)]
+    sets.append(np.concatenate([sets[0][:-20], rng.integers(0, 1 << 63, 20).astype(t.U)]))
+    size = np.array([len(x) for x in sets])
+    data, _ = ngramjoin.sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
+    rows = [(i, int(n), bytearray(x)) for i, (n, x) in enumerate(zip(size, data.reshape(len(sets), -1), strict=True))]
+    known = spark.createDataFrame(rows, "set_hash long, weight int, sketch binary")
+    met = spark.createDataFrame([(i, 7, 0, None, None) for i in range(len(sets))], "a long, b long, at int, times int, least int")
+    assert {tuple(sorted(r)) for r in ngramjoin._links(met, known, 0.7).collect()} == {(0, 60)}
+
+
+def test_sets_that_share_few_signatures_are_not_paired(spark):
+    """Long sets that meet once by chance used to be joined with their sketches; similar ones meet as often as their sizes ask for."""
+    rng = np.random.default_rng(22)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    rows = [(i, f"{words(150)} both of them {words(150)}") for i in range(20)]
+    near = words(300).split()
+    rows += [(20, " ".join(near)), (21, " ".join(near[:-50] + words(50).split()))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met = ngramjoin._meetings(docs, np.zeros((1 << ngramjoin.PLACE_BITS) + 1, np.int8), 2, 0.7)
+    often = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("least").alias("least"))
+    assert often.where("times >= least").count() == 1 and often.where("least < 4").count() == 0
+    assert {r[0]: r[1] for r in ngramjoin.classes(docs).where("n_links > 0").select("doc_id", "class_id").collect()} == {20: 20, 21: 20}
+
+
+def test_signatures_shared_by_sets_of_every_size():
+    """Pairs right at the threshold share as many of the first as are asked for, at places that may meet."""
+    rng = np.random.default_rng(23)
+    for n in [*range(1, 41), 90, 130, 250, 700]:
+        for own in {0, int(n * 0.08), int(n * 0.15)}:
+            c = int(np.ceil(0.7 * (n + own) - 1e-9))
+            if c > n:
+                continue
+            for _ in range(40):
+                a = rng.integers(0, 1 << 63, n + own).astype(t.U)
+                x, y = np.sort(a[:n]), np.sort(np.concatenate([a[:c], a[n:]]))
+                size = np.array([len(x), len(y)])
+                first = np.bincount(ngramjoin._first(np.concatenate([[0], np.cumsum(size)]), 0.7, ngramjoin._shared(size))[0])
+                _, i, j = np.intersect1d(x[: first[0]], y[: first[1]], return_indices=True)
+                met = ngramjoin._may_meet(size[:1], i, size[1:], j, 0.7).sum()
+                assert met >= min(ngramjoin._shared(size).min(), ngramjoin._least(*size, 0.7)), (n, own)
+
+
 def test_unlike_texts_of_common_words_are_not_compared(spark):
     """What they have in common grows with their number; sets that only share common n-grams used to hang together."""
     rng = np.random.default_rng(11)
