@@ -51,21 +51,23 @@ def adaptive(fetched: DataFrame, alternates: DataFrame) -> DataFrame:
     return joined.select(*[c for c in fetched.columns if c != "html"], html.alias("html"), "strategy_used", "_class.*")
 
 
-def fetch_batch(addresses: DataFrame, responses: DataFrame, on_error: str = "skip", alternates: DataFrame | None = None) -> DataFrame:
+def fetch_batch(addresses: DataFrame, responses: DataFrame, on_error: str = "skip", alternates: DataFrame | None = None, own: bool = False) -> DataFrame:
     """Articles of ``addresses`` (idx, url), in the order of idx, from ``responses`` (url, status, content_type, html).
 
     What has no usable response is left out (``skip``), kept with nulls and its
     ``error`` (``include``), or fails the query when it is read (``raise``).
     Of several responses of one address the first usable one counts, by the
-    greatest HTML. Repeated addresses give repeated articles.
+    greatest HTML. Repeated addresses give repeated articles; with ``own``,
+    responses have idx too, and each counts for the row only that it was
+    fetched for.
     """
     if on_error not in ON_ERROR:
         raise ValueError(f"on_error must be one of {', '.join(ON_ERROR)}; it is {on_error!r}")
     reason = response_guard()
-    one = responses.where("url is not null").groupBy(F.col("url").alias("_of")).agg(F.max(F.struct(reason.isNull().alias("good"), F.coalesce("html", F.lit("")).alias("html"), F.coalesce(reason, F.lit("")).alias("why"))).alias("_r"))
+    one = responses.where("url is not null").groupBy(F.col("url").alias("_of"), *[F.col("idx").alias("_for")] * own).agg(F.max(F.struct(reason.isNull().alias("good"), F.coalesce("html", F.lit("")).alias("html"), F.coalesce(reason, F.lit("")).alias("why"))).alias("_r"))
     scheme = F.lower(urls.part(F.col("url"), 1))
     error = F.when(~F.coalesce(scheme.isin("http", "https"), F.lit(False)), "only http and https can be fetched").when(F.col("_r").isNull(), "no response").when(~F.col("_r.good"), F.col("_r.why"))
-    joined = addresses.select("idx", "url").join(one, F.col("url") == F.col("_of"), "left").select("idx", "url", F.col("_r.html").alias("html"), error.alias("error"))
+    joined = addresses.select("idx", "url").join(one, (F.col("url") == F.col("_of")) & (F.col("idx") == F.col("_for") if own else F.lit(True)), "left").select("idx", "url", F.col("_r.html").alias("html"), error.alias("error"))
     if on_error == "skip":
         joined = joined.where("error is null")
     elif on_error == "raise":

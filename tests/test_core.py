@@ -170,6 +170,18 @@ def test_fetch_batch_and_feed(spark):
     assert [(r.pos, r.title) for r in fetching.fetch_feed(feed, got).collect()] == [(1, "one"), (2, "one")] and fetching.fetch_feed(feed, got, 1).count() == 0
 
 
+def odd_pages(spark, tmp_path, name):
+    """What the query and its SQL make of repeated addresses and of references that a cut has left without their end."""
+    page = lambda i, t: f'<!DOCTYPE html><html lang="en"><head><title>{t}</title></head><body><article><h1>{t}</h1><p>{t} {i}</article></body></html>'
+    rows = [(i, f"https://e.com/{i // 3}", page(i, t)) for i, t in enumerate(["one &amp;&amp", "two", "three &copy", "R&amp;D &am", "&quot;x&quot; &quot", "&amp &amp;", "last", "&ampx;", "more", "&copy;", "end"])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    return compare.differences(queries.QUERIES[name](spark, str(tmp_path)), queries.ORACLE_SQL[name], compare.duck(str(tmp_path)))
+
+
+def test_every_request_has_its_own_response(spark, tmp_path):
+    assert odd_pages(spark, tmp_path, "fetch_batch") == ""
+
+
 def test_adaptive_chain(spark):
     many = lambda n: f"<title>t</title><body><p>{'word ' * n}</p></body>"
     spa = '<html><body><div id="root"></div><script src="/static/js/main.abc1.js"></script></body></html>'
