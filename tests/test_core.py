@@ -182,6 +182,10 @@ def test_every_request_has_its_own_response(spark, tmp_path):
     assert odd_pages(spark, tmp_path, "fetch_batch") == ""
 
 
+def test_cut_off_references_in_blocks(spark, tmp_path):
+    assert odd_pages(spark, tmp_path, "page_blocks") == ""
+
+
 def test_adaptive_chain(spark):
     many = lambda n: f"<title>t</title><body><p>{'word ' * n}</p></body>"
     spa = '<html><body><div id="root"></div><script src="/static/js/main.abc1.js"></script></body></html>'
