@@ -186,6 +186,12 @@ def test_cut_off_references_in_blocks(spark, tmp_path):
     assert odd_pages(spark, tmp_path, "page_blocks") == ""
 
 
+def test_cut_off_references_in_metadata(spark, tmp_path):
+    assert odd_pages(spark, tmp_path, "page_metadata") == ""
+    tree = dom.parse('<a href="?a=1&copy=2&amp;b=3">&#65;&nbspx</a><script>a &lt b && c</script>')
+    assert [(x.get("href"), x.kids) for x in tree.kids] == [("?a=1&copy=2&b=3", ["A&nbspx"]), ("", ["a &lt b && c"])]
+
+
 def test_adaptive_chain(spark):
     many = lambda n: f"<title>t</title><body><p>{'word ' * n}</p></body>"
     spa = '<html><body><div id="root"></div><script src="/static/js/main.abc1.js"></script></body></html>'
