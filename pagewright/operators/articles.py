@@ -40,7 +40,8 @@ def unique_slugs(articles: DataFrame, slug: str = "slug", order: str = "seq") ->
 
     Only slugs of one family (equal but for numbers at the end) can meet, so a
     family is a group. Slugs of one row, nearly all, are settled by a count; the
-    others' families are numbered on slim rows of slug and order alone.
+    others' families are numbered on slim rows of slug and order alone. Rows without an
+    order come last; those of one slug and order get their names as they come.
     """
     family = F.regexp_replace(F.col(slug), r"(-[0-9]+)+$", "")
     slim = articles.select(family.alias("family"), F.col(slug).alias("name"), F.col(order).cast("long").alias("at"))
@@ -61,10 +62,14 @@ def unique_slugs(articles: DataFrame, slug: str = "slug", order: str = "seq") ->
                 out.append(new)
             yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("at"), pa.array(out, pa.string())], ["_name", "_at", "_new"])
 
-    rows = slim.join(again, "family", "left_semi").repartition("family").sortWithinPartitions("family", "at").select("family", "name", "at")
-    named = rows.mapInArrow(number, "_name string, _at long, _new string").where("_name <> _new")
-    joined = articles.join(named, (F.col(slug) == F.col("_name")) & (F.col(order).cast("long") == F.col("_at")), "left")
-    return joined.withColumn(slug, F.coalesce("_new", slug)).drop("_name", "_at", "_new")
+    # a shuffle of its own: that of the join may be read in parts, in which families are cut
+    rows = slim.join(again, "family", "left_semi").repartition(F.xxhash64("family")).sortWithinPartitions("family", F.col("at").asc_nulls_last()).select("family", "name", "at")
+    at = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit(""))
+    # one row a slug and order, so that nothing is repeated by the join
+    named = rows.mapInArrow(number, "_name string, _at long, _new string").groupBy("_name", at("_at").alias("_key")).agg(F.collect_list("_new").alias("_new")).where("size(_new) > 1 or _new[0] <> _name")
+    joined = articles.withColumn("_place", at(order)).join(named, (F.col(slug) == F.col("_name")) & (F.col("_place") == F.col("_key")), "left")
+    joined = joined.withColumn("_n", F.row_number().over(W.partitionBy(slug, "_place").orderBy(F.lit(1))))
+    return joined.withColumn(slug, F.coalesce(F.expr("_new[_n - 1]"), slug)).drop("_name", "_key", "_new", "_place", "_n")
 
 
 def index(articles: DataFrame, order: str = "seq") -> DataFrame:

@@ -123,6 +123,13 @@ def test_dedup_and_slugs(spark):
     assert [r["slug"] for r in articles.unique_slugs(named).orderBy("seq").collect()] == ["x", "x-2", "x-2-2", "x-2-2-2", "x-2-3", "x-3", "y", "y-7"]
 
 
+def test_slugs_of_repeated_and_missing_orders(spark, tmp_path):
+    """Rows of one slug and order used to be joined each with each, and rows without an order kept their slug."""
+    rows = [(i, s, "en") for i, s in [(1, "x"), (1, "x"), (2, "x"), (2, "x"), (2, "x"), (None, "x"), (None, "x"), (3, "y"), (None, "z"), (4, "z"), (5, None)]]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert compare.differences(queries.QUERIES["unique_slugs"](spark, str(tmp_path)), queries.ORACLE_SQL["unique_slugs"], compare.duck(str(tmp_path))) == ""
+
+
 def test_feeds_and_sitemaps(spark):
     rss = "<rss><channel><item><title>T</title><guid>https://e.com/1</guid></item><item><guid isPermaLink='false'>7</guid></item></channel></rss>"
     atom = "<feed xmlns='http://www.w3.org/2005/Atom'><entry><link href='/2'/><published>2024</published><author><name>N</name></author></entry></feed>"
